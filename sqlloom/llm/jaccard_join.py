@@ -8,10 +8,15 @@ into ``k2 + 2`` parts, and a signature is the content of all but ``k2`` of a gro
 share one. Groups without elements agree in any two sets, so each tag has a spare group, and a set with
 more empty ones than spare ones gives signatures for these too.
 
-Sets that share a signature are candidates; the links among them are found without making all pairs: each
-signature's smallest node is compared with the others, and whatever is not yet in one component is
-compared with further nodes, round by round, until every signature's nodes are in one component or
-compared. The similarity is always the exact one of the two texts. Equal sets are one node.
+Sets that share a signature are candidates; the links among them are found without making all pairs. One
+node of each signature, its pivot, is compared with the others. Let D(x) be the elements in which x and
+the pivot differ: x and y differ in |D(x)| + |D(y)| - 2 |D(x) & D(y)|. So if x does not link with the pivot,
+it links with y only if D(x) and D(y) have a common element, and indeed at least |D(x)| - k(x) of them, k(x)
+being the most in which a set that links with x differs from it. The nodes that were compared with a
+pivot and are not all in one component are dealt out again by the smallest |D(x)| - (|D(x)| - k(x)) + 1
+elements of D(x), which meet in one at least, and each of these smaller groups gets a pivot of its own,
+until none holds two components. The similarity is always the exact one of the two texts. Equal sets are
+one node.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sqlloom.llm import textkit as tk
@@ -125,8 +130,8 @@ def _describe(size: int, percent: int):
     return run
 
 
-def _linked(size: int, percent: int):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _compare(size: int, percent: int):
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_()), ("apart", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,59 +140,57 @@ def _linked(size: int, percent: int):
                 left = distinct_shingles(tk.Words(data, offsets, lower=True), size)
                 right = distinct_shingles(tk.Words(*other, lower=True), size)
                 n = rows.num_rows
-                keys = np.concatenate([left[2], right[2]])
-                order = np.argsort(keys)
-                pair = np.concatenate([left[0], right[0]])[order[1:]][keys[order[1:]] == keys[order[:-1]]]
-                common = np.bincount(pair, minlength=n)
-                union = np.bincount(left[0], minlength=n) + np.bincount(right[0], minlength=n) - common
-                yes = pa.array((common > 0) & (100 * common >= percent * union))
-                yield pa.RecordBatch.from_arrays([rows.column("a").filter(yes), rows.column("b").filter(yes)], schema=schema)
+                pair, shingle, both = (np.concatenate([x, y]) for x, y in zip(left, right))
+                order = np.argsort(both)
+                same = both[order[1:]] == both[order[:-1]]
+                once = ~(np.r_[False, same] | np.r_[same, False]) if len(order) else np.zeros(0, bool)
+                common = np.bincount(pair[order[1:]][same], minlength=n)
+                n_right = np.bincount(right[0], minlength=n)
+                union = np.bincount(left[0], minlength=n) + n_right - common
+                linked = (common > 0) & (100 * common >= percent * union)
+                # The elements in which the two differ, smallest first, as many as must be looked at.
+                pair, shingle = pair[order[once]], shingle[order[once]]
+                by = np.lexsort((shingle, pair))
+                pair, shingle = pair[by], shingle[by]
+                apart = union - common
+                reach = n_right * (100 - percent) // percent + 1  # at least k(b): the smaller set is percent of the larger
+                looked = np.where(linked, apart, np.minimum(apart, reach + 1))
+                first = np.cumsum(apart) - apart
+                keep = np.arange(len(pair)) - first[pair] < looked[pair]
+                at = np.r_[0, np.cumsum(looked)].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([
+                    rows.column("a"), rows.column("b"), pa.array(linked), pa.ListArray.from_arrays(pa.array(at), pa.array(tk.signed(shingle[keep]))),
+                ], schema=schema)
 
     return run
 
 
-def jaccard_links(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose documents' shingle sets are similar enough."""
+def compare(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b, linked, apart) of pairs (a, b): whether they link, and elements in which they differ."""
     ids = broadcast_if(cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()), BROADCAST_IDS)
     texts = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.mapInArrow(_linked(size, percent), "a long, b long")
+    return both.mapInArrow(_compare(size, percent), "a long, b long, linked boolean, apart array<long>")
 
 
-def _link_components(docs: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame | None:
+def _link_components(docs: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
     """(node, component) of the nodes that link; rows: (signature, node)."""
     pivots = rows.groupBy("signature").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("signature", "pivot")
-    active = stage(rows.join(pivots, "signature").where("node <> pivot"), "active")
-    compared = cut(active.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
-    links = cut(jaccard_links(docs, compared, size, percent))
-    active, per_signature = active.select("signature", "node"), 8
+    links, found = None, None
     while True:
-        found = components(links)
-        sizes = found.groupBy("component").agg(F.count("*").alias("members"))
-        labelled = (
-            active.join(found, "node", "left")
-            .join(sizes, "component", "left")
-            .select("signature", "node", F.coalesce("component", "node").alias("component"), F.coalesce("members", F.lit(1)).alias("members"))
-        )
-        labelled = cut(labelled)
-        mixed = labelled.groupBy("signature").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("signature")
-        active = stage(labelled.join(mixed, "signature", "left_semi"), "active")
-        if active.isEmpty():
+        pairs = cut(rows.join(pivots, "signature").where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
+        if links is not None and pairs.isEmpty():
             return found
-        order = Window.partitionBy("signature").orderBy("members", "node")
-        chosen = cut(active.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_signature).select("signature", "rank", F.col("node").alias("pivot"), F.col("component").alias("of")))
-        pairs = (
-            active.join(chosen, "signature")
-            .where("component <> of")
-            .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-            .distinct()
-            .join(compared, ["a", "b"], "left_anti")
-        )
-        pairs = cut(pairs)
-        links = cut(links.union(jaccard_links(docs, pairs, size, percent)))
-        compared = cut(compared.union(pairs))
-        active = active.select("signature", "node").join(chosen.select("signature", F.col("pivot").alias("node")), ["signature", "node"], "left_anti")
-        per_signature *= 8
+        compared = stage(compare(docs, pairs, size, percent), "compared")
+        new = compared.where("linked").select("a", "b")
+        links = cut(new if links is None else links.union(new))
+        found = components(links)
+        of_a = found.select(F.col("node").alias("a"), F.col("component").alias("of_a"))
+        of_b = found.select(F.col("node").alias("b"), F.col("component").alias("of_b"))
+        apart = compared.where("size(apart) > 0").join(of_b, "b", "left").join(of_a, "a", "left").select("a", "b", "apart", F.coalesce("of_a", "a").alias("of_a"), F.coalesce("of_b", "b").alias("of_b"))
+        several = apart.groupBy("a").agg(F.min(F.least("of_a", "of_b")).alias("least"), F.max(F.greatest("of_a", "of_b")).alias("most")).where("least < most").select("a")
+        rows = stage(apart.join(several, "a", "left_semi").select(F.explode("apart").alias("e"), F.col("b").alias("node"), "of_b", "a").select(F.xxhash64("a", "e").alias("signature"), "node", "of_b"), "apart")
+        pivots = rows.groupBy("signature").agg(F.min("node").alias("pivot"), F.min("of_b").alias("least"), F.max("of_b").alias("most")).where("least < most").select("signature", "pivot")
 
 
 def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:

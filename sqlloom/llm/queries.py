@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sqlloom.llm.decontaminate import contaminated
+from sqlloom.llm.html_extract import extract
 from sqlloom.llm.jaccard_join import jaccard_components
+from sqlloom.llm.lm_score import lm_scores
 from sqlloom.llm.packing import pack
+from sqlloom.llm.pii import find_pii
 from sqlloom.llm.quality_rules import quality_rules
 from sqlloom.llm.substring_dedup import substring_dedup
 from sqlloom.llm.toxicity import toxicity
@@ -56,10 +59,28 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_documents(spark, sf_dir), _table("benchmark")(spark, sf_dir))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table("pages")(spark, sf_dir))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(_table("pages")(spark, sf_dir), contract_rules(spark))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(_documents(spark, sf_dir))
+
+
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(_documents(spark, sf_dir))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_substring_dedup": op2_substring_dedup,
@@ -67,7 +88,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_jaccard_join": op4_jaccard_join,
     "op5_packing": op5_packing,
     "op6_decontamination": op6_decontamination,
+    "op7_html_extraction": op7_html_extraction,
     "op8_url_filter": op8_url_filter,
+    "op9_pii": op9_pii,
+    "op10_lm_scores": op10_lm_scores,
+    "pipeline": pipeline,
 }
 
 ORACLES: dict[str, str] = {
