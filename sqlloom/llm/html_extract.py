@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sqlloom.llm.staging import in_arrow
+
 #: Pages that the trees are trained on: at most this many, those with the smallest hash of page_id, of which at most so many characters.
 TRAINING_PAGES, TRAINING_CHARS = 300, 200_000
 #: Trees, their depth, the step, and bins of a feature.
@@ -338,4 +340,4 @@ def extract(pages: DataFrame) -> DataFrame:
                     [rows.column("page_id").cast(pa.int64()), rows.column("url").cast(pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema=schema
                 )
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return pages.select("page_id", "url", "html").transform(in_arrow, run, "page_id long, url string, text string, n_chars long")

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from sqlloom.llm import textkit as tk
 from sqlloom.llm.components import components
-from sqlloom.llm.staging import broadcast_if, cut, stage
+from sqlloom.llm.staging import broadcast_if, cut, in_arrow, stage
 
 #: Nodes whose texts are to be compared are sent to all executors up to this many (8 bytes each), else joined.
 BROADCAST_IDS = 1 << 20
@@ -170,7 +170,7 @@ def compare(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataF
     ids = broadcast_if(cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()), BROADCAST_IDS)
     texts = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.mapInArrow(_compare(size, percent), "a long, b long, linked boolean, apart array<long>")
+    return both.transform(in_arrow, _compare(size, percent), "a long, b long, linked boolean, apart array<long>")
 
 
 def _link_components(docs: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
@@ -201,7 +201,7 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90) -> Dat
     component; rows repeated under one id give one row each, all in one component.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    described = stage(docs.mapInArrow(_describe(size, percent), "doc_id long, n_shingles long, set_a long, set_b long, signatures array<long>"), "sets")
+    described = stage(docs.transform(in_arrow, _describe(size, percent), "doc_id long, n_shingles long, set_a long, set_b long, signatures array<long>"), "sets")
     sets = described.select("doc_id", "n_shingles", "set_a", "set_b")
     nodes = cut(sets.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node")).where("node is not null"))
     rows = described.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select(F.explode("signatures").alias("signature"), F.col("doc_id").alias("node"))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sqlloom.llm import textkit as tk
-from sqlloom.llm.staging import stage
+from sqlloom.llm.staging import in_arrow, stage
 
 #: Tokens of a sequence, and the id that ends each document.
 LENGTH, END = 2048, 1
@@ -238,12 +238,12 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
     An empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    keys = stage(docs.mapInArrow(_keys, "key long, size long"), "keys")
+    keys = stage(docs.transform(in_arrow, _keys, "key long, size long"), "keys")
     n = max(1, min(RANGES, (keys.agg(F.sum("size")).first()[0] or 0) // RANGE_BYTES + 1))
     edges: list[int] = []
     if n > 1:
         shares = f"transform(sequence(1, {n - 1}), i -> double(i) / {n})"
         edges = sorted(set(keys.agg(F.expr(f"percentile_approx(key, {shares}, {max(10_000, 10 * n)})")).first()[0]))
-    laid = docs.mapInArrow(_tokens(tokenizer, edges), "bucket int, key long, doc_id long, ids binary")
+    laid = docs.transform(in_arrow, _tokens(tokenizer, edges), "bucket int, key long, doc_id long, ids binary")
     laid = laid.repartitionById(len(edges) + 1, F.col("bucket")).sortWithinPartitions("bucket", "key", "doc_id")
-    return laid.mapInArrow(_pack(length), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return laid.transform(in_arrow, _pack(length), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

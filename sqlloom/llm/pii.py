@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sqlloom.llm import textkit as tk
-from sqlloom.llm.staging import cut, stage
+from sqlloom.llm.staging import cut, in_arrow, stage
 
 #: Words around an entity that count as near; disclosure and number of different entities that mark a term.
 REACH, DISCLOSES, VALUES = 3, 0.8, 5
@@ -163,7 +163,7 @@ def _totals(held):
 
 def revealing_terms(docs: DataFrame) -> DataFrame:
     """(term, disclosure) of the terms that reveal entities; term: the hash of the word."""
-    seen = stage(docs.mapInArrow(_nearby, "term long, value long, n long, near long"), "nearby")
+    seen = stage(docs.transform(in_arrow, _nearby, "term long, value long, n long, near long"), "nearby")
     all_words = seen.where("term is null").agg(F.sum("n"), F.sum("near")).first()
     words, near = (int(x or 0) for x in all_words)
     pairs = seen.where("term is not null").select("term", "value").distinct()
@@ -171,7 +171,7 @@ def revealing_terms(docs: DataFrame) -> DataFrame:
     found = None
     for terms in _chunks(candidates) if 0 < near < words else ():
         held = docs.sparkSession.sparkContext.broadcast(terms)
-        counted = docs.mapInArrow(_totals(held), "term long, n long, near long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("near").alias("near"))
+        counted = docs.transform(in_arrow, _totals(held), "term long, n long, near long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("near").alias("near"))
         found = cut(counted if found is None else found.union(counted))
     if found is None:
         return candidates.where("false").select("term", F.lit(0.0).alias("disclosure"))
@@ -247,7 +247,7 @@ def _marked(docs: DataFrame) -> tuple[DataFrame, str]:
     for i, terms in enumerate(_chunks(cut(revealing_terms(docs.select("text"))))):
         held = docs.sparkSession.sparkContext.broadcast(terms)
         marked = stage(marked, "marked") if i else marked
-        marked = marked.mapInArrow(_marks(held, column), marked.schema)
+        marked = marked.transform(in_arrow, _marks(held, column), marked.schema)
     return marked, column
 
 
@@ -258,7 +258,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
     repeated under one id give one row each. A term inside an entity is no span of its own.
     """
     marked, _ = _marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    return marked.mapInArrow(_report, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return marked.transform(in_arrow, _report, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
@@ -273,7 +273,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
             columns[at] = pa.array(texts, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
-    out = marked.mapInArrow(run, docs.schema)
+    out = marked.transform(in_arrow, run, docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
     return out

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from sqlloom.session import ship_package
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,3 +49,9 @@ def cut(df: DataFrame) -> DataFrame:
 def broadcast_if(df: DataFrame, limit: int) -> DataFrame:
     """``df`` hinted for broadcast where it is counted to have at most ``limit`` rows; else as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def in_arrow(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
+    """``df.mapInArrow`` where executors may not have this package yet."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(run, schema)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sqlloom.llm import textkit as tk
-from sqlloom.llm.staging import broadcast_if, stage
+from sqlloom.llm.staging import broadcast_if, in_arrow, stage
 
 #: Ids of documents to look at again are sent to all executors up to this many (8 bytes each), else joined.
 BROADCAST_IDS = 1 << 20
@@ -146,7 +146,7 @@ def _removal(window: int, with_text: bool):
 def substring_dedup(docs: DataFrame, window: int = 50, with_text: bool = False) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    first = stage(docs.mapInArrow(_first_level(window), "doc_id long, n_words long, sha string, half array<long>, around array<long>"), "halves")
+    first = stage(docs.transform(in_arrow, _first_level(window), "doc_id long, n_words long, sha string, half array<long>, around array<long>"), "halves")
     named = first.where("doc_id is not null").select("doc_id", F.explode(F.arrays_zip("half", "around")).alias("x")).select("doc_id", "x.half", "x.around")
     repeated = (
         named.groupBy("half")
@@ -164,7 +164,7 @@ def substring_dedup(docs: DataFrame, window: int = 50, with_text: bool = False)
     )
     ids = broadcast_if(again.select("doc_id"), BROADCAST_IDS)
     texts = docs.join(ids, "doc_id", "left_semi")
-    full = stage(texts.join(again.where("size(open) > 0").select("doc_id", "open"), "doc_id").mapInArrow(_second_level(window), "doc_id long, half long, full long"), "full")
+    full = stage(texts.join(again.where("size(open) > 0").select("doc_id", "open"), "doc_id").transform(in_arrow, _second_level(window), "doc_id long, half long, full long"), "full")
     twice = full.groupBy("half", "full").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("half", "full", "least")
     hits = (
         full.join(twice, ["half", "full"])
@@ -177,7 +177,7 @@ def substring_dedup(docs: DataFrame, window: int = 50, with_text: bool = False)
     extra = ", kept_text string" if with_text else ""
     removed = (
         texts.join(todo, "doc_id")
-        .mapInArrow(_with_hits(_removal(window, with_text)), f"doc_id long, sha string, n_removed long, kept_sha256 string{extra}")
+        .transform(in_arrow, _with_hits(_removal(window, with_text)), f"doc_id long, sha string, n_removed long, kept_sha256 string{extra}")
         .dropDuplicates(["doc_id", "sha"])
     )
     out = first.select("doc_id", "n_words", "sha").join(removed, ["doc_id", "sha"], "left")

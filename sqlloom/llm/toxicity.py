@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sqlloom.llm.staging import broadcast_if
+from sqlloom.llm.staging import broadcast_if, in_arrow
 
 #: Labelled texts that are learned from: at most this many, those with the smallest hash of doc_id ...
 LABELLED_ROWS = 6_000
@@ -188,4 +188,4 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 [pa.array(ids, pa.int64()), pa.array([fold(d) == HELD_OUT for d in ids]), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], schema=schema
             )
 
-    return docs.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.transform(in_arrow, run, "doc_id long, held_out boolean, score double, predicted int")
