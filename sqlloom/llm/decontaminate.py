@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from sqlloom.llm.staging import broadcast_if, stage
 
 #: Words of a shingle, bits within which fingerprints are found, and the similarity in percent.
-SHINGLE, RADIUS, PERCENT = 5, 7, 80
+SHINGLE, RADIUS, PERCENT = 5, 15, 80
 #: The items' shingles and blocks are broadcast up to this many rows, else joined by shuffle.
 BROADCAST_ROWS = 1 << 19
 
@@ -42,10 +42,10 @@ def _shingles(words: str, size: int) -> Column:
 
 def _fingerprint(words: str) -> Column:
     """SimHash of an array of words (fewer than 32768): bit b is set where most words' hashes have it."""
-    lanes = ", ".join(f"a.s{k} + (shiftrightunsigned(h, {k}) & {_LANES}L)" for k in range(16))
+    lanes = [f"a.s{k} + (shiftrightunsigned(h, {k}) & {_LANES}L)" for k in range(16)]
     names = [f"s{k}" for k in range(16)]
     zero = "named_struct(" + ", ".join(f"'{n}', 0L" for n in names) + ")"
-    step = "named_struct(" + ", ".join(f"'{n}', {x}" for n, x in zip(names, lanes.split(", "), strict=True)) + ")"
+    step = "named_struct(" + ", ".join(f"'{n}', {x}" for n, x in zip(names, lanes, strict=True)) + ")"
     half = f"(size({words}) div 2)"
     # Lane j of s_k counts bit 16 j + k; it is set where the count is over half of the words.
     bits = " | ".join(f"if((shiftrightunsigned(a.s{k}, {16 * j}) & 65535) > {half}, shiftleft(1L, {16 * j + k}), 0L)" for k in range(16) for j in range(4))

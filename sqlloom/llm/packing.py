@@ -242,8 +242,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
     n = max(1, min(RANGES, (keys.agg(F.sum("size")).first()[0] or 0) // RANGE_BYTES + 1))
     edges: list[int] = []
     if n > 1:
-        shares = f"transform(sequence(1, {n - 1}), i -> double(i) / {n})"
-        edges = sorted(set(keys.agg(F.expr(f"percentile_approx(key, {shares}, {max(10_000, 10 * n)})")).first()[0]))
+        edges = sorted(set(keys.agg(F.percentile_approx("key", [i / n for i in range(1, n)], max(10_000, 10 * n))).first()[0]))
     laid = docs.transform(in_arrow, _tokens(tokenizer, edges), "bucket int, key long, doc_id long, ids binary")
     laid = laid.repartitionById(len(edges) + 1, F.col("bucket")).sortWithinPartitions("bucket", "key", "doc_id")
     return laid.transform(in_arrow, _pack(length), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
