@@ -82,7 +82,7 @@ def prune(fields: DataFrame, foreign_keys: DataFrame, tables: DataFrame, columns
     ``tables``: table_name; ``columns``: table_name, field.
     """
     bare = tables.join(columns.select("table_name").distinct(), "table_name", "left_anti")
-    kept = fields.join(columns, ["table_name", "field"], "left_semi").union(fields.join(bare, "table_name", "left_semi").select(*fields.columns))
+    kept = fields.join(columns, ["table_name", "field"], "left_semi").unionByName(fields.join(bare, "table_name", "left_semi"))
     ends = kept.select("table_name", "field")
     out = foreign_keys.join(ends, ["table_name", "field"], "left_semi")
     return kept, out.join(ends.select(F.col("table_name").alias("ref_table"), F.col("field").alias("ref_field")), ["ref_table", "ref_field"], "left_semi")

@@ -99,15 +99,20 @@ def test_dedup_equals_scan(spark):
         assert near[i] == -best[1]
 
 
-def _rule(messages):
-    text = messages[-1]["content"]
-    if "PROPOSE" in text:
-        return '[{"axis": "B", "score": 0.9}, {"axis": "E", "score": 0.8}, {"axis": "A", "score": 0.1}]'
-    if "FIX" in text:
-        return '{"sql": "select id from things where id < 3"}'
-    if "SAMPLE" in text:
-        return "<reasoning>so</reasoning><answer>select id from things where id < 3</answer>" if "good" in text else "no"
-    return '```json\n{"question": "good ' + str(abs(hash(text)) % 97) + '", "gold_sql": "select id from things where id < 3",}\n```'
+def _rules():
+    """A generator's rule; nested, so that it travels to the workers by value."""
+
+    def rule(messages):
+        text = messages[-1]["content"]
+        if "PROPOSE" in text:
+            return '[{"axis": "B", "score": 0.9}, {"axis": "E", "score": 0.8}, {"axis": "A", "score": 0.1}]'
+        if "FIX" in text:
+            return '{"sql": "select id from things where id < 3"}'
+        if "SAMPLE" in text:
+            return "<reasoning>so</reasoning><answer>select id from things where id < 3</answer>" if "good" in text else "no"
+        return '```json\n{"question": "good ' + str(sum(map(ord, text))) + '", "gold_sql": "select id from things where id < 3",}\n```'
+
+    return generate.RuleGenerator(rule)
 
 
 def test_generate_keeps_rows(spark):
@@ -132,16 +137,16 @@ def test_runner_resumes(spark, tmp_path):
     (tmp_path / "schemas.jsonl").write_text('{"db_name": "d", "mschema_str": "old"}\n\n{"db_name": "d", "mschema_str": "new"}\n')
     templates = {"breadth": "EVOLVE {QUESTION} {GOLD_SQL}", "propose": "PROPOSE", "depth": "DEPTH {QUESTION} {METHOD}", "fix": "FIX", "sample": "SAMPLE {QUESTION} {DATABASE_SCHEMA}"}
     config = Config(input_file=str(tmp_path / "seeds.json"), output_dir=str(tmp_path / "out"), db_root_path="x", mschema_jsonl=str(tmp_path / "schemas.jsonl"), indep_rounds=1, sampling_count=2, max_samples=1, stop_after="breadth_fix", verify_workers=4)
-    runner = Runner(spark, config, generate.RuleGenerator(_rule), templates=templates)
+    runner = Runner(spark, config, _rules(), templates=templates)
     assert runner.run() == ["breadth_evolve", "breadth_verify", "breadth_fix"]
     config.stop_after = ""
-    again = Runner(spark, config, generate.RuleGenerator(_rule), templates=templates)
+    again = Runner(spark, config, _rules(), templates=templates)
     assert again.run() == step_names(config)[3:]
     assert Checkpoint.load(again.checkpoint.path).get("merge") == "completed"
     final = again.table("rejection_sampling")
     assert final.count() > 0 and {r["output_sql"] for r in final.collect()} == {"select id from things where id < 3"}
     config.force_from = "dedup"
-    assert Runner(spark, config, generate.RuleGenerator(_rule), templates=templates).run() == ["dedup", "rejection_sampling"]
+    assert Runner(spark, config, _rules(), templates=templates).run() == ["dedup", "rejection_sampling"]
     assert Config(steps="nope").validate()
 
 
