@@ -348,7 +348,7 @@ def test_pii(spark):
         if i % 4 == 0:
             t += f" Telefon: +49 (0) 123 45{i:03d} " + text(5)
         if i % 8 == 1:
-            t += f" é{i}x@mail.example.org {text(4)} 10.0.0.{i} 4111 1111 1111 1111"
+            t += f" é{i}x@mail.example.org {text(4)} 10.0.0.{i} {text(4)} 4111 1111 1111 1111"
         rows.append((i, t))
     rows += [(500, None), (501, ""), (None, "call +1 234 567 8901 now")]
     got = collected(pii.find_pii(frame(spark, rows)))
