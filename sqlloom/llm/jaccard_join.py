@@ -9,14 +9,15 @@ share one. Groups without elements agree in any two sets, so each tag has a spar
 more empty ones than spare ones gives signatures for these too.
 
 Sets that share a signature are candidates; the links among them are found without making all pairs. One
-node of each signature, its pivot, is compared with the others. Let D(x) be the elements in which x and
-the pivot differ: x and y differ in |D(x)| + |D(y)| - 2 |D(x) & D(y)|. So if x does not link with the pivot,
-it links with y only if D(x) and D(y) have a common element, and indeed at least |D(x)| - k(x) of them, k(x)
-being the most in which a set that links with x differs from it. The nodes that were compared with a
-pivot and are not all in one component are dealt out again by the smallest |D(x)| - (|D(x)| - k(x)) + 1
-elements of D(x), which meet in one at least, and each of these smaller groups gets a pivot of its own,
-until none holds two components. The similarity is always the exact one of the two texts. Equal sets are
-one node.
+node of each signature, its pivot, is compared with the others: the one that shares most with most, so in
+a group of near copies the one that they are copies of. Let D(x) be the elements in which x and the pivot
+differ: x and y differ in |D(x)| + |D(y)| - 2 |D(x) & D(y)|. So if x does not link with the pivot, it links
+with y only if D(x) and D(y) have a common element, and indeed at least |D(x)| - k(x) of them, k(x) being the
+most in which a set that links with x differs from it. The nodes that were compared with a pivot and are
+not all in one component are dealt out again by the k(x) + 1 smallest elements of D(x), which meet in one
+at least, and these smaller groups get pivots of their own, more in each round, until none holds two
+components or all its nodes are compared. The similarity is always the exact one of the two texts. Equal
+sets are one node.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sqlloom.llm import textkit as tk
@@ -175,22 +176,37 @@ def compare(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataF
 
 def _link_components(docs: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
     """(node, component) of the nodes that link; rows: (signature, node)."""
-    pivots = rows.groupBy("signature").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("signature", "pivot")
-    links, found = None, None
+    shared = rows.groupBy("signature").agg(F.count("*").alias("n")).where("n > 1")
+    rows = stage(rows.join(shared, "signature").select("signature", "node", F.col("node").alias("component"), "n"), "shared")
+    links, found, pivots = None, None, 1
     while True:
-        pairs = cut(rows.join(pivots, "signature").where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
+        weight = rows.groupBy("node").agg(F.sum("n").alias("weight"))
+        first = rows.join(weight, "node").groupBy("signature").agg(F.max(F.struct("weight", (-F.col("node")).alias("least"))).alias("best")).select("signature", (-F.col("best.least")).alias("pivot"))
+        first = cut(first)
+        central = rows.join(first, "signature").where("node <> pivot")
+        pairs = central.select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+        if pivots > 1:
+            order = Window.partitionBy("signature").orderBy("node")
+            more = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") < pivots).select("signature", F.col("node").alias("other"), F.col("component").alias("of"))
+            pairs = pairs.union(rows.join(more, "signature").where("component <> of").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")))
+        pairs = cut(pairs.distinct())
         if links is not None and pairs.isEmpty():
             return found
         compared = stage(compare(docs, pairs, size, percent), "compared")
         new = compared.where("linked").select("a", "b")
         links = cut(new if links is None else links.union(new))
         found = components(links)
+        # Groups with more nodes than were compared with all the others are dealt out again.
+        again = central.where(F.col("n") > max(pivots, 2)).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
         of_a = found.select(F.col("node").alias("a"), F.col("component").alias("of_a"))
         of_b = found.select(F.col("node").alias("b"), F.col("component").alias("of_b"))
-        apart = compared.where("size(apart) > 0").join(of_b, "b", "left").join(of_a, "a", "left").select("a", "b", "apart", F.coalesce("of_a", "a").alias("of_a"), F.coalesce("of_b", "b").alias("of_b"))
+        apart = compared.where("size(apart) > 0").join(again, ["a", "b"], "left_semi").join(of_b, "b", "left").join(of_a, "a", "left")
+        apart = apart.select("a", "b", "apart", F.coalesce("of_a", "a").alias("of_a"), F.coalesce("of_b", "b").alias("of_b"))
         several = apart.groupBy("a").agg(F.min(F.least("of_a", "of_b")).alias("least"), F.max(F.greatest("of_a", "of_b")).alias("most")).where("least < most").select("a")
-        rows = stage(apart.join(several, "a", "left_semi").select(F.explode("apart").alias("e"), F.col("b").alias("node"), "of_b", "a").select(F.xxhash64("a", "e").alias("signature"), "node", "of_b"), "apart")
-        pivots = rows.groupBy("signature").agg(F.min("node").alias("pivot"), F.min("of_b").alias("least"), F.max("of_b").alias("most")).where("least < most").select("signature", "pivot")
+        dealt = stage(apart.join(several, "a", "left_semi").select("a", F.explode("apart").alias("e"), F.col("b").alias("node"), F.col("of_b").alias("component")).select(F.xxhash64("a", "e").alias("signature"), "node", "component"), "apart")
+        mixed = dealt.groupBy("signature").agg(F.count("*").alias("n"), F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("signature", "n")
+        rows = stage(dealt.join(mixed, "signature").select("signature", "node", "component", "n"), "shared")
+        pivots *= 8
 
 
 def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
