@@ -109,8 +109,8 @@ def _signatures(docs: np.ndarray, shingles: np.ndarray, sizes: np.ndarray, perce
     return np.concatenate(out_docs), np.concatenate(out)
 
 
-def _describe(size: int, percent: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("signatures", pa.list_(pa.int64()))])
+def _describe(size: int):
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,13 +120,22 @@ def _describe(size: int, percent: int):
                 sizes = np.bincount(docs, minlength=words.n_docs)
                 a = tk.group_sum64(docs, tk.mix(shingles ^ np.uint64(0xA5A5)), words.n_docs)
                 b = tk.group_sum64(docs, tk.mix(shingles + np.uint64(0x5A5A5A)), words.n_docs)
-                owner, signature = _signatures(docs, shingles, sizes, percent)
-                order = np.argsort(owner, kind="stable")
-                at = np.searchsorted(owner[order], np.arange(words.n_docs + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([
-                    rows.column("doc_id").cast(pa.int64()), pa.array(sizes.astype(np.int64)), pa.array(tk.signed(a)), pa.array(tk.signed(b)),
-                    pa.ListArray.from_arrays(pa.array(at), pa.array(tk.signed(signature[order]))),
-                ], schema=schema)
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), pa.array(sizes.astype(np.int64)), pa.array(tk.signed(a)), pa.array(tk.signed(b))], schema=schema)
+
+    return run
+
+
+def _sign(size: int, percent: int):
+    schema = pa.schema([("signature", pa.int64()), ("node", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, data, offsets in tk.slices(batch):
+                words = tk.Words(data, offsets, lower=True)
+                docs, shingles, _ = distinct_shingles(words, size)
+                owner, signature = _signatures(docs, shingles, np.bincount(docs, minlength=words.n_docs), percent)
+                ids = rows.column("doc_id").cast(pa.int64()).take(pa.array(owner))
+                yield pa.RecordBatch.from_arrays([pa.array(tk.signed(signature)), ids], schema=schema)
 
     return run
 
@@ -174,10 +183,17 @@ def compare(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataF
     return both.transform(in_arrow, _compare(size, percent), "a long, b long, linked boolean, apart array<long>")
 
 
-def _link_components(docs: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
-    """(node, component) of the nodes that link; rows: (signature, node)."""
+def _link_components(docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
+    """(node, component) of the nodes that link.
+
+    The signatures of all documents are far more than the shared ones, so they are not kept: they are made
+    once to count them and once to find whose the shared ones are, and only those are joined with the nodes.
+    """
+    signed = docs.where("doc_id is not null").transform(in_arrow, _sign(size, percent), "signature long, node long")
+    common = signed.groupBy("signature").agg(F.count("*").alias("n")).where("n > 1").select("signature")
+    rows = stage(signed.join(common, "signature").join(nodes, "node", "left_semi").select("signature", "node", F.col("node").alias("component")), "common")
     shared = rows.groupBy("signature").agg(F.count("*").alias("n")).where("n > 1")
-    rows = stage(rows.join(shared, "signature").select("signature", "node", F.col("node").alias("component"), "n"), "shared")
+    rows = stage(rows.join(shared, "signature"), "shared")
     links, found, pivots = None, None, 1
     while True:
         weight = rows.groupBy("node").agg(F.sum("n").alias("weight"))
@@ -217,11 +233,9 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90) -> Dat
     component; rows repeated under one id give one row each, all in one component.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    described = stage(docs.transform(in_arrow, _describe(size, percent), "doc_id long, n_shingles long, set_a long, set_b long, signatures array<long>"), "sets")
-    sets = described.select("doc_id", "n_shingles", "set_a", "set_b")
+    sets = stage(docs.transform(in_arrow, _describe(size), "doc_id long, n_shingles long, set_a long, set_b long"), "sets")
     nodes = cut(sets.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node")).where("node is not null"))
-    rows = described.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select(F.explode("signatures").alias("signature"), F.col("doc_id").alias("node"))
-    found = _link_components(docs, rows, size, percent)
+    found = _link_components(docs, nodes.select("node"), size, percent)
     return (
         sets.join(nodes, ["set_a", "set_b"], "left")
         .withColumn("node", F.expr("if(n_shingles > 0, node, doc_id)"))
