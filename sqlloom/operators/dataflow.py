@@ -80,7 +80,7 @@ def expand(df: DataFrame, times: int, name: str = "evolve_id") -> DataFrame:
 
 def explode_directions(df: DataFrame, proposal: str = "proposal", name: str = "direction_id", position: str = "position") -> DataFrame:
     """One row per proposed direction, with its position."""
-    kept = [c for c in df.columns if c != proposal]
+    kept = [c for c in df.columns if c not in (proposal, name, position)]
     return df.where(F.size(F.coalesce(F.col(proposal), F.array().cast("array<int>"))) > 0).select(*kept, F.posexplode(proposal).alias(position, name))
 
 
