@@ -8,7 +8,9 @@ Jaccard similarity of their 5-word shingles (each weighs its number of occurrenc
 
 Only windows that can reach that similarity are fingerprinted: it takes a shared shingle, so windows are
 placed where an item's shingle stands in the document at the same distance from the window's start. That
-placement is an equality join of the documents' shingles with the items'.
+placement is an equality join of the documents' shingles with the items'. A window that would reach over an
+edge of the text is moved inside; a text of fewer words than the item is one window, all of it, where it has
+shingles enough to reach ``percent``.
 
 Where an item has fewer than 5 words, its shingle is all of its words.
 """
@@ -80,18 +82,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT)
     keyed = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), _words(F.col("text")).alias("words"))
     item_shingles = items.select("item_id", "n", "short", F.posexplode("shingles").alias("at", "shingle")).select("n", "short", "at", "shingle").distinct()
     found = None
+    last = F.col("length") - F.col("n")
     for size in sorted(sizes):
         wanted = broadcast_if(item_shingles.where(F.col("short") == size).select("n", "at", "shingle"), BROADCAST_ROWS)
-        placed = keyed.select("doc_id", F.posexplode(_shingles("words", size)).alias("place", "shingle")).join(wanted, "shingle").select("doc_id", "n", (F.col("place") - F.col("at")).alias("start"))
+        placed = keyed.select("doc_id", F.size("words").alias("length"), F.posexplode(_shingles("words", size)).alias("place", "shingle")).join(wanted, "shingle")
+        placed = placed.where(f"100 * (length - {size} + 1) >= {percent} * (n - {size} + 1)")
+        placed = placed.select("doc_id", "n", F.least("n", "length").alias("width"), F.greatest(F.lit(0), F.least(F.col("place") - F.col("at"), last)).alias("start"))
         found = placed if found is None else found.union(placed)
     schema = "doc_id long, item_id long, start int, similarity double"
     if found is None:
         return docs.sparkSession.createDataFrame([], schema)
-    placed = stage(found.where("start >= 0").distinct().groupBy("doc_id").agg(F.collect_set(F.struct("n", "start")).alias("windows")), "windows")
+    placed = stage(found.distinct().groupBy("doc_id").agg(F.collect_set(F.struct("n", "width", "start")).alias("windows")), "windows")
     held = broadcast_if(placed, BROADCAST_ROWS)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(held, "doc_id")
-    cut_out = texts.select("doc_id", _words(F.col("text")).alias("words"), "windows").select("doc_id", "words", F.explode("windows").alias("w")).where("w.start + w.n <= size(words)")
-    windows = cut_out.select("doc_id", "w.n", "w.start", F.expr("slice(words, w.start + 1, w.n)").alias("words")).withColumn("print", _fingerprint("words"))
+    cut_out = texts.select("doc_id", _words(F.col("text")).alias("words"), "windows").select("doc_id", "words", F.explode("windows").alias("w")).where("w.start + w.width <= size(words) and w.width in (w.n, size(words))")
+    windows = cut_out.select("doc_id", "w.n", "w.start", F.expr("slice(words, w.start + 1, w.width)").alias("words")).withColumn("print", _fingerprint("words"))
     windows = windows.withColumn("short", F.least("n", F.lit(SHINGLE)))
     in_blocks = windows.select("*", F.explode(_blocks("print")).alias("block"))
     listed = items.withColumn("item_print", _fingerprint("words")).select("item_id", "n", "item_print", F.col("shingles").alias("item_shingles"), F.explode(_blocks("item_print")).alias("block"))
@@ -101,12 +106,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT)
         .select("doc_id", "item_id", "start", "n", "short", "words", "item_shingles")
         .dropDuplicates(["doc_id", "item_id", "start", "n", "words", "item_shingles"])
     )
-    by_size = [f"when {k} then transform(sequence(0, n - {k}), i -> xxhash64({', '.join(f'words[i + {j}]' for j in range(k))}))" for k in range(1, SHINGLE + 1)]
+    by_size = [f"when {k} then transform(sequence(0, size(words) - {k}), i -> xxhash64({', '.join(f'words[i + {j}]' for j in range(k))}))" for k in range(1, SHINGLE + 1)]
     near = near.withColumn("mine", F.expr(f"case short {' '.join(by_size)} end"))
-    # Sum over distinct shingles of the smaller count; both have n - short + 1 in all.
+    # Sum over distinct shingles of the smaller count.
     count = "size(filter({0}, x -> x = s))"
     common = f"aggregate(array_intersect(mine, item_shingles), 0, (a, s) -> a + least({count.format('mine')}, {count.format('item_shingles')}))"
-    near = near.withColumn("common", F.expr(common)).withColumn("all", F.expr("2 * size(mine) - common"))
+    near = near.withColumn("common", F.expr(common)).withColumn("all", F.expr("size(mine) + size(item_shingles) - common"))
     near = near.where(f"100 * common >= {percent} * all").withColumn("similarity", F.expr("cast(common as double) / all"))
     best = F.min(F.struct((-F.col("similarity")).alias("s"), "start")).alias("best")
     return near.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", F.col("best.start").alias("start"), (-F.col("best.s")).alias("similarity"))

@@ -281,6 +281,35 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(frame(spark, rows), empty).count() == 0 and decontaminate.contaminated(frame(spark, []), benchmark).count() == 0
 
 
+def test_decontamination_at_edges(spark):
+    """Items lacking a word, at both edges of documents and as whole documents."""
+    rng = random.Random(21)
+    text = lambda k, v: [f"{v}{rng.randrange(900)}" for _ in range(k)]
+    items = [(i, text(30, "v")) for i in range(4)]
+    rows, want = [], set()
+    for i, w in items:
+        for k, lacking in enumerate([w[1:], w[:-1], w[:2] + w[3:], w[:-3] + w[-2:]]):
+            for j, t in enumerate([lacking + text(50, "x"), text(50, "x") + lacking, lacking]):
+                rows.append((100 * i + 10 * k + j, " ".join(t)))
+                if k < 2:  # of 26 shingles one is lost, and windows of 30 words have one of another text
+                    want.add((100 * i + 10 * k + j, i))
+        rows.append((900 + i, " ".join(w[:24])))
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["start"], r["similarity"]) for r in decontaminate.contaminated(frame(spark, rows), benchmark).collect()}
+    brute = {}
+    for d, t in rows:
+        for i, w in items:
+            have, n = t.split(), min(len(w), len(t.split()))
+            grams = lambda x: Counter(tuple(x[a : a + 5]) for a in range(len(x) - 4))
+            for s in range(len(have) - n + 1):
+                a, b = grams(have[s : s + n]), grams(w)
+                likeness = (a & b).total() / (a | b).total()
+                if likeness >= 0.8 and likeness > brute.get((d, i), (0, 0))[1]:
+                    brute[d, i] = (s, likeness)
+    assert set(got) == set(brute) and want <= set(got)
+    assert all(abs(got[k][1] - brute[k][1]) < 1e-9 for k in brute)
+
+
 def test_html(spark):
     rng = random.Random(3)
     text = lambda k: " ".join(rng.choice(["sun", "moon", "star", "of", "the", "light", "caf&eacute;"]) for _ in range(k))
