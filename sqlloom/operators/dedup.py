@@ -8,6 +8,7 @@ of blocks, and no task ever holds a whole group.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Vectors of a block.
 BLOCK = 2048
+#: Undecided pairs that the driver may scan, and rounds after which the dropped keys are put together.
+SCANNED, TOGETHER = 1 << 20, 50
 
 
 def _unit(vectors: pd.Series) -> np.ndarray:
@@ -76,22 +79,41 @@ def nearest(df: DataFrame, group: str, key: str, vector: str, block: int = BLOCK
     return best.select(group, key, F.col("best.n").alias("neighbour"), (-F.col("best.s")).alias("similarity"))
 
 
+def _scanned(pairs: DataFrame) -> DataFrame:
+    """(k): the keys that a scan of the pairs, by their larger keys, drops."""
+    dropped = {}
+    for r in pairs.orderBy("b").collect():  # at most SCANNED
+        if r["a"] not in dropped:
+            dropped[r["b"]] = True
+    return pairs.sparkSession.createDataFrame([(k,) for k in dropped], f"k {dict(pairs.dtypes)['b']}")
+
+
 def greedy_keep(pairs: DataFrame, keys: DataFrame, key: str, rounds: int = 1000) -> DataFrame:
     """The keys that a scan in key order keeps, which drops a key similar to one kept before it.
 
     The scan's outcome is the lexicographically first maximal independent set of the pairs' graph. It is
     found in rounds, without scanning: a key with no undecided smaller neighbour is kept, and its larger
     neighbours are dropped. Each round is two joins; the number of rounds is the longest chain of decisions.
+    After ``rounds`` of them the driver scans the pairs that are left, once these are at most SCANNED; until
+    then rounds go on. All pairs are decided in the end.
     """
+    if not pairs.where("a >= b").isEmpty():
+        raise ValueError("pairs must have a < b")
     open_pairs = pairs.select("a", "b").distinct().checkpoint() if pairs.sparkSession.sparkContext.getCheckpointDir() else pairs.select("a", "b").distinct().persist()
     dropped: DataFrame | None = None
-    for _ in range(rounds):
+    for turn in count():
         if open_pairs.isEmpty():
             break
+        if turn >= rounds and open_pairs.limit(SCANNED + 1).count() <= SCANNED:
+            gone = _scanned(open_pairs)
+            dropped = gone if dropped is None else dropped.union(gone)
+            break
         safe = open_pairs.select(F.col("a").alias("k")).distinct().join(open_pairs.select(F.col("b").alias("k")).distinct(), "k", "left_anti")
         gone = open_pairs.join(safe.withColumnRenamed("k", "a"), "a", "left_semi").select(F.col("b").alias("k")).distinct()
         gone = gone.checkpoint() if gone.sparkSession.sparkContext.getCheckpointDir() else gone.persist()
         dropped = gone if dropped is None else dropped.union(gone)
+        if turn % TOGETHER == TOGETHER - 1:
+            dropped = dropped.checkpoint() if dropped.sparkSession.sparkContext.getCheckpointDir() else dropped.localCheckpoint()
         left = open_pairs.join(gone.withColumnRenamed("k", "b"), "b", "left_anti").join(gone.withColumnRenamed("k", "a"), "a", "left_anti").select("a", "b")
         open_pairs = left.checkpoint() if left.sparkSession.sparkContext.getCheckpointDir() else left.persist()
     return keys if dropped is None else keys.join(dropped.withColumnRenamed("k", key), key, "left_anti")

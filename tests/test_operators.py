@@ -99,6 +99,16 @@ def test_dedup_equals_scan(spark):
         assert near[i] == -best[1]
 
 
+def test_dedup_decides_long_chains(spark, monkeypatch):
+    n = 24
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(n - 1)], "a long, b long")
+    rows = spark.range(n)
+    assert sorted(r["id"] for r in dedup.greedy_keep(pairs, rows, "id", rounds=2).collect()) == list(range(0, n, 2))
+    monkeypatch.setattr(dedup, "SCANNED", 10)
+    monkeypatch.setattr(dedup, "TOGETHER", 2)
+    assert sorted(r["id"] for r in dedup.greedy_keep(pairs, rows, "id", rounds=1).collect()) == list(range(0, n, 2))
+
+
 def _rules():
     """A generator's rule; nested, so that it travels to the workers by value."""
 
