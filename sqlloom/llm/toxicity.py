@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -26,12 +26,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sqlloom.llm.staging import broadcast_if, in_arrow
+from sqlloom.llm.staging import broadcast_if, in_arrow, stage
 
-#: Labelled texts that are learned from: at most this many, those with the smallest hash of doc_id ...
+#: Labelled texts that are learned from, all of each: at most this many, those with the smallest hash of doc_id.
 LABELLED_ROWS = 6_000
-#: ... and of each at most so many characters; scoring always reads whole texts.
-LABELLED_CHARS = 20_000
+#: Windows of ordinary texts that the common part is trained on: those with the smallest hash of doc_id and window.
+COMMON_WINDOWS = 40_000
 #: Words of a window; bytes of a dictionary's own and common parts.
 WINDOW, OWN_BYTES, COMMON_BYTES = 12, 16 << 10, 16 << 10
 #: A word belongs to a class from so many contexts there, and this many times as often as in the other.
@@ -56,17 +56,13 @@ def _windows(words: list[bytes]) -> list[bytes]:
     return [b" " + b" ".join(words[i : i + WINDOW]) + b" " for i in range(0, len(words), WINDOW)]
 
 
-def _contexts(texts: list[list[bytes]]) -> Counter[bytes]:
-    """For each word, the number of its different pairs of neighbours."""
-    seen: set[int] = set()
-    counts: Counter[bytes] = Counter()
-    for words in texts:
-        bare = [b"", *(w.strip(_EDGE) for w in words), b""]
-        for around in zip(bare, bare[1:], bare[2:]):
-            if (key := hash(around)) not in seen:
-                seen.add(key)
-                counts[around[1]] += 1
-    return counts
+def _add_contexts(words: list[bytes], seen: set[int], counts: Counter[bytes]) -> None:
+    """Count, for each word, its pairs of neighbours that were not seen before."""
+    bare = [b"", *(w.strip(_EDGE) for w in words), b""]
+    for around in zip(bare, bare[1:], bare[2:]):
+        if (key := hash(around)) not in seen:
+            seen.add(key)
+            counts[around[1]] += 1
 
 
 def _own_part(mine: Counter[bytes], other: Counter[bytes]) -> bytes:
@@ -139,26 +135,35 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def train(rows: list[tuple[int, str, int]]) -> Model:
-    """rows: doc_id, text, toxic. Rows of the held-out fold must not be among them."""
-    rows = sorted((d, t, y) for d, t, y in rows if fold(d) != HELD_OUT)
-    learn = [(_words(t), y) for d, t, y in rows if fold(d) != CALIBRATES]
-    checks = [(t, y) for d, t, y in rows if fold(d) == CALIBRATES]
-    by_class = [_contexts([w for w, y in learn if y == c]) for c in (0, 1)]
-    samples = [x for w, y in learn if not y for x in _windows(w)][:40_000]
+def learn(rows: Iterable[tuple[int, str, int]]) -> Model:
+    """The dictionaries, not calibrated, from doc_id, text, toxic; texts are read one at a time."""
+    seen: list[set[int]] = [set(), set()]
+    by_class: list[Counter[bytes]] = [Counter(), Counter()]
+    chosen: list[tuple[int, bytes]] = []
+    for d, t, y in rows:
+        words = _words(t)
+        _add_contexts(words, seen[y], by_class[y])
+        if not y:
+            of_id = zlib.crc32(str(d).encode())
+            chosen += [(zlib.crc32(x, of_id), x) for x in _windows(words)]
+            if len(chosen) > 4 * COMMON_WINDOWS:
+                chosen = sorted(chosen)[:COMMON_WINDOWS]
+    samples = [x for _, x in sorted(chosen)[:COMMON_WINDOWS]]
     try:
         common = zstandard.train_dictionary(COMMON_BYTES, samples, k=30, d=6).as_bytes()
     except zstandard.ZstdError:  # too few samples to train on
         common = b"".join(samples)[-COMMON_BYTES:]
-    model = Model(_own_part(by_class[1], by_class[0]) + common, _own_part(by_class[0], by_class[1]) + common, np.zeros(6), np.ones(6), np.zeros(7))
-    if len({y for _, y in checks}) < 2:
-        share = np.clip(np.mean([y for *_, y in rows] or [0]), 0.001, 0.999)
+    return Model(_own_part(by_class[1], by_class[0]) + common, _own_part(by_class[0], by_class[1]) + common, np.zeros(6), np.ones(6), np.zeros(7))
+
+
+def calibrate(model: Model, x: np.ndarray, y: np.ndarray, share: float) -> None:
+    """Fit the threshold to whole texts' numbers; where these are of one class, to the share of toxic rows."""
+    if len(set(y)) < 2:
+        share = np.clip(share, 0.001, 0.999)
         model.weights[0] = np.log(share / (1 - share))
-        return model
-    x, y = np.array([model.numbers(t) for t, _ in checks]), np.array([y for _, y in checks], np.float64)
+        return
     model.mean, model.scale = x.mean(0), x.std(0) + 1e-9
     model.weights = _logistic((x - model.mean) / model.scale, y)
-    return model
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -174,9 +179,22 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     remainder = F.expr(f"crc32(cast(coalesce(cast(doc_id as string), '') as binary)) % {FOLDS}")
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(remainder != HELD_OUT)
     chosen = marks.orderBy(F.xxhash64("doc_id", F.lit("toxic")), "doc_id", "toxic").limit(LABELLED_ROWS)
-    sample = docs.join(broadcast_if(chosen, LABELLED_ROWS), "doc_id").select("doc_id", F.left(F.coalesce("text", F.lit("")), F.lit(LABELLED_CHARS)).alias("text"), "toxic")
-    rows = [(r["doc_id"], r["text"], r["toxic"]) for r in sample.limit(2 * LABELLED_ROWS).toLocalIterator()]
-    model = docs.sparkSession.sparkContext.broadcast(train(rows))
+    sample = docs.join(broadcast_if(chosen, LABELLED_ROWS), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic")
+    sample = stage(sample.limit(2 * LABELLED_ROWS), "labelled")
+    context = docs.sparkSession.sparkContext
+    learned = learn((r["doc_id"], r["text"], r["toxic"]) for r in sample.where(remainder != CALIBRATES).orderBy("doc_id", "text", "toxic").toLocalIterator())
+    dictionaries = context.broadcast(learned)
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use = dictionaries.value
+        for batch in batches:
+            numbers = [use.numbers(t.as_py()).tolist() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(numbers, pa.list_(pa.float64()))], ["doc_id", "toxic", "numbers"])
+
+    checks = sample.where(remainder == CALIBRATES).repartition(context.defaultParallelism).transform(in_arrow, measured, "doc_id long, toxic int, numbers array<double>")
+    found = sorted((r["doc_id"], r["toxic"], r["numbers"]) for r in checks.collect())  # six numbers a row of the sample
+    calibrate(learned, np.array([n for *_, n in found]), np.array([y for _, y, _ in found], np.float64), sample.agg(F.avg("toxic")).first()[0] or 0)
+    model = context.broadcast(learned)
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

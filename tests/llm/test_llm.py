@@ -212,6 +212,21 @@ def test_toxicity(spark):
     assert [r["score"] < 0.01 for r in toxicity.toxicity(frame(spark, rows[:2]), none).collect()] == [True, True]
 
 
+def test_toxicity_late_in_texts(spark):
+    """Passages after more than 20,000 characters are learned, calibrated and found."""
+    rng = random.Random(16)
+    plain = ["".join(rng.choice("aeioustrn") for _ in range(rng.randint(3, 8))) for _ in range(400)]
+    bad = ["grumblax", "fozzwick", "snarkle", "vilebog"]
+    rows = []
+    for i in range(120):
+        w = [rng.choice(plain) for _ in range(3600)]
+        rows.append((i, " ".join(w + [rng.choice(bad if i % 2 and rng.random() < 0.5 else plain) for _ in range(60)])))
+    assert min(len(" ".join(t.split()[:3600])) for _, t in rows) > 20_000
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    held = [r for r in toxicity.toxicity(frame(spark, rows), labels).collect() if r["held_out"]]
+    assert len(held) > 10 and sum(r["predicted"] == r["doc_id"] % 2 for r in held) >= 0.9 * len(held)
+
+
 def test_hilbert_curve_is_one():
     side = 8
     cells = np.array([(x, y, z) for x in range(side) for y in range(side) for z in range(side)])
