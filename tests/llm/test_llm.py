@@ -435,6 +435,32 @@ def test_lm_scores(spark, monkeypatch):
     assert np.median(bits) < 4
 
 
+def test_lm_weights_are_online():
+    """What stands past byte 2,000 shapes the weights, and a text's own blocks shape its later ones."""
+    tree = lm_score.Tree(np.r_[np.zeros(97, np.int64), np.full(26, 5), np.zeros(133, np.int64)])
+    rng = np.random.default_rng(2)
+    logits = [rng.normal(size=lm_score.SLOTS).astype(np.float32) for _ in range(3)]
+    head, tails = rng.integers(97, 123, 2_500).astype(np.uint8), [rng.integers(97, 123, 2_500).astype(np.uint8) for _ in range(2)]
+    taught = []
+    for tail in tails:
+        learner = lm_score.Learner()
+        data, own = lm_score.with_marks(np.r_[head, tail], np.array([0, 5_000]))
+        learner.learn(logits, lm_score.steps(tree, data, own), own)
+        taught.append(lm_score.together([(learner.weights, learner.curve)]))
+    assert np.abs(taught[0] - taught[1]).max() > 1e-4
+    start = lm_score.start_weights().T.astype(np.float32)
+    texts = [np.r_[head[:300], head[:100]], np.r_[tails[0][:300], head[:100]], head[:20]]
+    data, own = lm_score.with_marks(np.concatenate(texts), np.r_[0, np.cumsum([len(t) for t in texts])])
+    found = lm_score.steps(tree, data, own)
+    z, bit = lm_score.mixed(start, logits, found, own), np.r_[0, np.cumsum(found[1])]
+    plain = sum(w[found[3]] * t[s] for w, t, s in zip(start, logits, found[2]))
+    assert np.allclose(z[: bit[32]], plain[: bit[32]], atol=1e-4) and np.abs(z[bit[32] : bit[own[1]]] - plain[bit[32] : bit[own[1]]]).max() > 1e-3
+    # A text's logits don't depend on those beside it, nor on what comes later in it.
+    for i, t in enumerate(texts):
+        d, o = lm_score.with_marks(t, np.array([0, len(t)]))
+        assert np.allclose(lm_score.mixed(start, logits, lm_score.steps(tree, d, o), o), z[bit[own[i]] : bit[own[i + 1]]], atol=1e-4)
+
+
 def test_lm_edges(spark):
     got = lm_score.lm_scores(frame(spark, [(None, None), (3, ""), (4, "a b a"), (4, "a b a")])).collect()
     assert sorted(r["n_tokens"] for r in got) == [1, 1, 4, 4] and len({r["base_score"] for r in got if r["doc_id"] == 4}) == 1
