@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sqlloom.functions.text import base_type, shown_examples
@@ -119,12 +119,15 @@ def schema_text(fields: DataFrame, foreign_keys: DataFrame, group: str = "db_id"
 
 
 def catalog_fields(spark: SparkSession, tables: Iterable[str]) -> DataFrame:
-    """Fields of catalog tables, with up to three distinct example values of each, by one pass a table."""
+    """Fields of catalog tables, with the smallest three distinct values of each as examples, from all rows."""
     out = None
     for name in tables:
         df = spark.table(name)
-        found = df.agg(*[F.slice(F.array_sort(F.collect_set(F.when(F.xxhash64(F.col(c).cast("string")) % 97 == 0, F.left(F.col(c).cast("string"), F.lit(60))))), 1, 3).alias(c) for c in df.columns])
-        pieces = ", ".join(f"'{name}', {i}, '{f.name}', '{f.dataType.simpleString()}', `{f.name}`" for i, f in enumerate(df.schema.fields))
-        one = found.selectExpr(f"stack({len(df.columns)}, {pieces}) as (table_name, ordinal, field, type, examples)")
+        values = F.posexplode(F.array(*[F.left(F.col(c).cast("string"), F.lit(60)) for c in df.columns])).alias("ordinal", "value")
+        distinct = df.select(values).where("value is not null").distinct()
+        least = distinct.withColumn("place", F.row_number().over(Window.partitionBy("ordinal").orderBy("value"))).where("place <= 3")
+        found = least.groupBy("ordinal").agg(F.array_sort(F.collect_list("value")).alias("examples"))
+        declared = spark.createDataFrame([(name, i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields)], "table_name string, ordinal int, field string, type string")
+        one = declared.join(found, "ordinal", "left").select("table_name", "ordinal", "field", "type", F.coalesce("examples", F.array().cast("array<string>")).alias("examples"))
         out = one if out is None else out.union(one)
     return out.withColumns({"primary_key": F.lit(False), "comment": F.lit(None).cast("string")})

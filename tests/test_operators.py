@@ -60,6 +60,12 @@ def test_schema_text(spark):
     assert {(r["table_name"], r["field"]) for r in kept.collect()} == {("t", "made"), ("u", "t_id")} and left.count() == 0
 
 
+def test_catalog_examples_are_least_values(spark):
+    spark.createDataFrame([(i, "NRA"[i % 3], None) for i in range(50)], "id long, flag string, none string").createOrReplaceTempView("flags")
+    got = {r["field"]: (r["ordinal"], r["type"], r["examples"]) for r in linking.catalog_fields(spark, ["flags"]).collect()}
+    assert got == {"id": (0, "bigint", ["0", "1", "10"]), "flag": (1, "string", ["A", "N", "R"]), "none": (2, "string", [])}
+
+
 def test_overlay(spark):
     spark.createDataFrame([(1, "a")], "id long, name string").createOrReplaceTempView("parent")
     spark.createDataFrame([(1, 1)], "id long, parent_id long").createOrReplaceTempView("child")
