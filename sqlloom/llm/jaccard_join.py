@@ -3,42 +3,45 @@
 Two sets link when ``100 * intersection >= percent * union``. Sizes fall into bands; a set belongs to its
 own band's tag and, if it is within reach of the next band, to that one's tag too, so two sets that link
 share a tag. With ``k`` the largest difference (in elements) of two linking sets of a tag, the shingle
-domain is split by hash into first-level groups of which some have at most ``k2`` differences, each group
-into ``k2 + 2`` parts, and a signature is the content of all but ``k2`` of a group's parts: linking sets
-share one. Groups without elements agree in any two sets, so each tag has a spare group, and a set with
-more empty ones than spare ones gives signatures for these too.
-
-Sets that share a signature are candidates; the links among them are found without making all pairs. One
-node of each signature, its pivot, is compared with the others: the one that shares most with most, so in
-a group of near copies the one that they are copies of. Let D(x) be the elements in which x and the pivot
-differ: x and y differ in |D(x)| + |D(y)| - 2 |D(x) & D(y)|. So if x does not link with the pivot, it links
-with y only if D(x) and D(y) have a common element, and indeed at least |D(x)| - k(x) of them, k(x) being the
-most in which a set that links with x differs from it. The nodes that were compared with a pivot and are
-not all in one component are dealt out again by the k(x) + 1 smallest elements of D(x), which meet in one
-at least, and these smaller groups get pivots of their own, more in each round, until none holds two
-components or all its nodes are compared. The similarity is always the exact one of the two texts. Equal
-sets are one node.
+domain is split by hash into ``k div 2 + 1`` first-level groups, of which one has at most one difference,
+each group into three parts, and a signature is the content of two of a group's parts: linking sets share
+one. Groups without elements agree in any two sets, so each tag has a spare group, and a set with more empty
+ones than spare ones gives signatures for these too.
+
+Sets that share a signature are candidates; the links among them are found without making all pairs. Of a
+signature with few sets all pairs are compared. Of others one set, the pivot, is compared with the rest:
+the one that shares most with most, so in a group of near copies the one that they are copies of. Let D(x)
+be the elements in which x and the pivot differ: x and y differ in |D(x)| + |D(y)| - 2 |D(x) & D(y)|. So if
+they link, D(x) and D(y) overlap by at least half of |D(x)| + |D(y)| less the difference allowed, and in any
+common order of elements their prefixes of suitable lengths meet (see ``_lengths``). The order is rarest
+first, among the sets compared with that pivot: what single copies changed comes first and meets nothing.
+Sets that did not link with the pivot are dealt out again by their prefixes, together with the linked ones,
+and these smaller groups are searched in the same way, until none holds two components. The similarity is
+always the exact one of the two texts. Equal sets are one node, named by the hash of the set.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sqlloom.llm import textkit as tk
 from sqlloom.llm.components import components
-from sqlloom.llm.staging import broadcast_if, cut, in_arrow, stage
+from sqlloom.llm.staging import broadcast_if, drop, in_arrow, release, stage
 
-#: Nodes whose texts are to be compared are sent to all executors up to this many (8 bytes each), else joined.
-BROADCAST_IDS = 1 << 20
-#: Upper end over lower end of a size band; groups beyond the necessary ones; largest k for two differences in a group.
-BAND, SPARE, DEEP = 1.4, 1, 8
+#: Rows of ids, or of pairs to compare, that are sent to all executors (under 64 bytes each); beyond, joins are shuffled.
+BROADCAST_ROWS = 1 << 18
+#: Upper end over lower end of a size band; groups beyond the necessary ones.
+BAND, SPARE = 1.4, 1
+#: Groups in which one side has at most so many sets are compared pair by pair; sets compared with a pivot by one task.
+SMALL, CHUNK = 4, 256
+#: The parts of a group that make a signature.
+_SUBSETS = ((0, 1), (0, 2), (1, 2))
 
 
 @lru_cache(maxsize=8)
@@ -51,76 +54,70 @@ def _tags(percent: int, largest: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(low), np.array(high)
 
 
-def distinct_shingles(words: tk.Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text index, hash, hash of both) of each text's set of shingles."""
+def distinct_shingles(words: tk.Words, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text index, hash) of each text's set of shingles, in that order."""
     docs, shingles = words.shingles(size)
-    both = tk.mix(shingles ^ tk.mix(docs.astype(np.uint64) + np.uint64(1)))
-    order = np.argsort(both)
-    order = order[np.r_[True, both[order[1:]] != both[order[:-1]]]] if len(order) else order
-    return docs[order], shingles[order], both[order]
+    order = np.lexsort((shingles, docs))
+    docs, shingles = docs[order], shingles[order]
+    new = np.r_[True, (docs[1:] != docs[:-1]) | (shingles[1:] != shingles[:-1])] if len(docs) else np.zeros(0, bool)
+    return docs[new], shingles[new]
+
+
+def set_names(docs: np.ndarray, shingles: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit name of each text's set, from two sums over its elements."""
+    a = tk.group_sum64(docs, tk.mix(shingles ^ np.uint64(0xA5A5)), n)
+    b = tk.group_sum64(docs, tk.mix(shingles + np.uint64(0x5A5A5A)), n)
+    return tk.mix(a ^ tk.mix(b))
 
 
 def _signatures(docs: np.ndarray, shingles: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """(text index, signature) of all texts' signatures."""
-    low, high = _tags(percent, int(sizes.max(initial=1)))
+    low, high = _tags(percent, int(sizes.max(initial=1)) * 2 + 2)
     band = np.searchsorted(low, sizes, "right") - 1
-    out_docs, out = [], []
-    for up in (0, 1):
+    out_docs, out = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    hashes = tk.mix(shingles + np.uint64(0x632BE59BD9B4E019))
+    contents = tk.mix(hashes ^ np.uint64(0x1234567))
+    for up in (0, 1):  # own band, then sets that may link with one of the next band
         tag = band + up
-        if up:  # sets that may link with one of the next band
-            low, high = _tags(percent, int(sizes.max(initial=1)) * 2 + 2)
         mine = (sizes > 0) & (sizes * 100 >= percent * low[tag])
         k = high[tag] * 2 * (100 - percent) // (100 + percent)
-        k2 = ((k > 0) & (k <= DEEP)).astype(np.int64)
-        spare = k // (k2 + 1)  # groups that may have too many differences
-        groups = np.where(k > 0, spare + 1 + SPARE, 1)
-        parts = np.where(k2 == 1, 3, 1)
-        for deep in (0, 1):
-            chosen = np.flatnonzero(mine & (k2 == deep))
-            if not len(chosen):
-                continue
-            n_parts = 3 if deep else 1
-            base = np.zeros(len(sizes), np.int64)
-            width = np.where(mine & (k2 == deep), groups * n_parts, 0)
-            base = np.cumsum(width) - width
-            total = int(width.sum())
-            e = np.flatnonzero((mine & (k2 == deep))[docs])
-            d, h = docs[e], tk.mix(shingles[e] + np.uint64(0x632BE59BD9B4E019))
-            cell = base[d] + (((h >> np.uint64(32)) * (width[d].astype(np.uint64))) >> np.uint64(32)).astype(np.int64)
-            sums = tk.group_sum64(cell, tk.mix(h ^ np.uint64(0x1234567)), total)
-            counts = np.bincount(cell, minlength=total)
-            owner = np.repeat(np.arange(len(sizes)), width // n_parts)
-            group = np.arange(len(owner)) - np.repeat(np.cumsum(width // n_parts) - width // n_parts, width // n_parts)
-            sums, counts = sums.reshape(-1, n_parts), counts.reshape(-1, n_parts)
-            subsets = list(combinations(range(n_parts), n_parts - deep))
-            some_empty = np.zeros(len(owner), bool)
-            for s in subsets:
-                some_empty |= counts[:, s].sum(1) == 0
-            empties = np.bincount(owner[some_empty], minlength=len(sizes))
-            with_empty = empties > SPARE
-            for j, s in enumerate(subsets):
-                full = (counts[:, s].sum(1) > 0) | with_empty[owner]
-                o, g = owner[full], group[full]
-                place = tk.mix((tag[o].astype(np.uint64) << np.uint64(34)) + (g.astype(np.uint64) << np.uint64(3)) + np.uint64(j * 2 + deep))
-                out_docs.append(o)
-                out.append(tk.mix(sums[full][:, s].sum(1, dtype=np.uint64) ^ place))
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        groups = np.where(mine, np.where(k > 0, k // 2 + 1 + SPARE, 1), 0)
+        base = np.cumsum(3 * groups) - 3 * groups
+        total = int(3 * groups.sum())
+        on = np.flatnonzero(mine[docs])
+        d = docs[on]
+        cell = base[d] + (((hashes[on] >> np.uint64(32)) * (3 * groups[d]).astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
+        sums = tk.group_sum64(cell, contents[on], total).reshape(-1, 3)
+        counts = np.bincount(cell, minlength=total).reshape(-1, 3)
+        owner = np.repeat(np.arange(len(sizes)), groups)
+        group = np.arange(len(owner)) - np.repeat(base // 3, groups)
+        equal_only = (k == 0)[owner]  # sets that link are equal: one signature of everything
+        empty = np.zeros(len(owner), bool)
+        for s in _SUBSETS:
+            empty |= counts[:, s].sum(1) == 0
+        with_empty = np.bincount(owner[empty], minlength=len(sizes)) > SPARE
+        for j, s in enumerate(_SUBSETS):
+            content = np.where(equal_only, sums.sum(1, dtype=np.uint64), sums[:, s].sum(1, dtype=np.uint64))
+            full = np.where(equal_only, j == 0, (counts[:, s].sum(1) > 0) | with_empty[owner])
+            o, g = owner[full], group[full]
+            place = tk.mix((tag[o].astype(np.uint64) << np.uint64(34)) + (g.astype(np.uint64) << np.uint64(2)) + np.uint64(j))
+            out_docs.append(o)
+            out.append(tk.mix(content[full] ^ place))
     return np.concatenate(out_docs), np.concatenate(out)
 
 
 def _describe(size: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offsets in tk.slices(batch):
                 words = tk.Words(data, offsets, lower=True)
-                docs, shingles, _ = distinct_shingles(words, size)
-                sizes = np.bincount(docs, minlength=words.n_docs)
-                a = tk.group_sum64(docs, tk.mix(shingles ^ np.uint64(0xA5A5)), words.n_docs)
-                b = tk.group_sum64(docs, tk.mix(shingles + np.uint64(0x5A5A5A)), words.n_docs)
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), pa.array(sizes.astype(np.int64)), pa.array(tk.signed(a)), pa.array(tk.signed(b))], schema=schema)
+                docs, shingles = distinct_shingles(words, size)
+                n = words.n_docs
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column("doc_id"), rows.column("text_hash"), pa.array(np.bincount(docs, minlength=n).astype(np.int64)), pa.array(tk.signed(set_names(docs, shingles, n)))], schema=schema
+                )
 
     return run
 
@@ -130,116 +127,214 @@ def _sign(size: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, data, offsets in tk.slices(batch):
+            for _, data, offsets in tk.slices(batch):
                 words = tk.Words(data, offsets, lower=True)
-                docs, shingles, _ = distinct_shingles(words, size)
+                docs, shingles = distinct_shingles(words, size)
                 owner, signature = _signatures(docs, shingles, np.bincount(docs, minlength=words.n_docs), percent)
-                ids = rows.column("doc_id").cast(pa.int64()).take(pa.array(owner))
-                yield pa.RecordBatch.from_arrays([pa.array(tk.signed(signature)), ids], schema=schema)
+                names = set_names(docs, shingles, words.n_docs)
+                yield pa.RecordBatch.from_arrays([pa.array(tk.signed(signature)), pa.array(tk.signed(names[owner]))], schema=schema)
 
     return run
 
 
+def differences(sizes: np.ndarray, docs: np.ndarray, shingles: np.ndarray, pivot: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each set's number of elements in common with the pivot's, and (set, element) of the wanted sets' differences.
+
+    ``docs`` and ``shingles``: the sets' elements; ``pivot``: its elements, sorted.
+    """
+    m = len(sizes)
+    at = np.minimum(np.searchsorted(pivot, shingles), len(pivot) - 1)
+    hit = pivot[at] == shingles
+    common = np.bincount(docs[hit], minlength=m)
+    own = ~hit & wanted[docs]
+    missing = np.repeat(wanted[:, None], len(pivot), 1)
+    missing[docs[hit], at[hit]] = False
+    which, where = np.nonzero(missing)
+    owner, element = np.r_[docs[own], which], np.r_[shingles[own], pivot[where]]
+    order = np.argsort(owner, kind="stable")
+    return common, owner[order], element[order]
+
+
 def _compare(size: int, percent: int):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_()), ("apart", pa.list_(pa.int64()))])
+    """Rows come sorted: a pivot, then the sets that are compared with it."""
+    names = ["a", "b", "size_a", "size_b", "linked", "apart"]
+    schema = pa.schema([(n, pa.int64()) for n in names[:4]] + [("linked", pa.bool_()), ("apart", pa.list_(pa.int64()))])
+    room = 1 << 22  # cells of a table of sets by the pivot's elements
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, before = np.zeros(0, np.uint64), None
         for batch in batches:
-            for rows, data, offsets in tk.slices(batch, "text_a", tk.SLICE_BYTES // 2):
-                other = tk.raw(tk.text_column(rows, "text_b"))
-                left = distinct_shingles(tk.Words(data, offsets, lower=True), size)
-                right = distinct_shingles(tk.Words(*other, lower=True), size)
+            for rows, data, offsets in tk.slices(batch):
+                docs, shingles = distinct_shingles(tk.Words(data, offsets, lower=True), size)
                 n = rows.num_rows
-                pair, shingle, both = (np.concatenate([x, y]) for x, y in zip(left, right))
-                order = np.argsort(both)
-                same = both[order[1:]] == both[order[:-1]]
-                once = ~(np.r_[False, same] | np.r_[same, False]) if len(order) else np.zeros(0, bool)
-                common = np.bincount(pair[order[1:]][same], minlength=n)
-                n_right = np.bincount(right[0], minlength=n)
-                union = np.bincount(left[0], minlength=n) + n_right - common
-                linked = (common > 0) & (100 * common >= percent * union)
-                # The elements in which the two differ, smallest first, as many as must be looked at.
-                pair, shingle = pair[order[once]], shingle[order[once]]
-                by = np.lexsort((shingle, pair))
-                pair, shingle = pair[by], shingle[by]
-                apart = union - common
-                reach = n_right * (100 - percent) // percent + 1  # at least k(b): the smaller set is percent of the larger
-                looked = np.where(linked, apart, np.minimum(apart, reach + 1))
-                first = np.cumsum(apart) - apart
-                keep = np.arange(len(pair)) - first[pair] < looked[pair]
-                at = np.r_[0, np.cumsum(looked)].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([
-                    rows.column("a"), rows.column("b"), pa.array(linked), pa.ListArray.from_arrays(pa.array(at), pa.array(tk.signed(shingle[keep]))),
-                ], schema=schema)
+                at = np.searchsorted(docs, np.arange(n + 1))
+                a, b, salt = (rows.column(c).to_numpy() for c in ("a", "node", "salt"))
+                compared, deal = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("compared", "deal"))
+                low = 0
+                while low < n:
+                    if not compared[low]:
+                        held = shingles[at[low] : at[low + 1]]
+                        low += 1
+                        continue
+                    stop = low + 1
+                    while stop < n and compared[stop] and (stop - low + 1) * len(held) <= room:
+                        stop += 1
+                    mine = docs[at[low] : at[stop]] - low
+                    sizes = np.diff(at[low : stop + 1])
+                    common, owner, element = differences(sizes, mine, shingles[at[low] : at[stop]], held, deal[low:stop])
+                    linked = (common > 0) & (100 * common >= percent * (sizes + len(held) - common))
+                    key = [*zip(a[low:stop].tolist(), salt[low:stop].tolist(), b[low:stop].tolist())]
+                    new = np.array([x != y for x, y in zip(key, [before, *key])], bool)  # a row that repeats a document comes once more
+                    before = key[-1]
+                    ends = pa.array(np.r_[0, np.cumsum(np.bincount(owner, minlength=stop - low))].astype(np.int32))
+                    out = [a[low:stop], b[low:stop], np.full(stop - low, len(held)), sizes.astype(np.int64)]
+                    lists = pa.ListArray.from_arrays(ends, pa.array(tk.signed(element)))
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, out), pa.array(linked), lists], schema=schema).filter(pa.array(new))
+                    low = stop
 
     return run
 
 
-def compare(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(a, b, linked, apart) of pairs (a, b): whether they link, and elements in which they differ."""
-    ids = broadcast_if(cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()), BROADCAST_IDS)
-    texts = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.transform(in_arrow, _compare(size, percent), "a long, b long, linked boolean, apart array<long>")
-
+def compare(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b, size_a, size_b, linked, apart) of staged pairs (a, b, deal): ``apart`` is the difference where ``deal`` holds.
 
-def _link_components(docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
-    """(node, component) of the nodes that link.
-
-    The signatures of all documents are far more than the shared ones, so they are not kept: they are made
-    once to count them and once to find whose the shared ones are, and only those are joined with the nodes.
+    A pivot's pairs are dealt to as many tasks as CHUNK asks for; its text goes to each, the others' texts to one each.
+    """
+    many = pairs.groupBy("a").agg(F.expr(f"(count(*) + {CHUNK - 1}) div {CHUNK}").alias("chunks"))
+    salted = pairs.join(many, "a").select("a", F.col("b").alias("node"), F.expr("pmod(xxhash64(b), chunks)").alias("salt"), F.lit(True).alias("compared"), "deal")
+    pivots = salted.select("a", F.col("a").alias("node"), "salt", F.lit(False).alias("compared"), F.lit(False).alias("deal")).distinct()
+    wanted = broadcast_if(salted.union(pivots).join(nodes.select("node", "doc_id", "text_hash"), "node"), BROADCAST_ROWS)
+    texts = docs.join(wanted, ["doc_id", "text_hash"]).select("a", "salt", "compared", "node", "deal", "text")
+    dealt = texts.repartition("a", "salt").sortWithinPartitions("a", "salt", "compared", "node")
+    return dealt.transform(in_arrow, _compare(size, percent), "a long, b long, size_a long, size_b long, linked boolean, apart array<long>")
+
+
+def _lengths(percent: int) -> tuple[str, str, str]:
+    """SQL for the lengths of prefixes of D(x), of ``d`` elements: linked sets', and the short and long ones of the others.
+
+    Linking sets of s elements together differ in at most s (100 - percent) div (100 + percent), and a set of n
+    in at most K = n (100 - percent) div percent from any. If the overlap of D(x) and D(y) is at least o, their
+    prefixes of |D(x)| - o + 1 and |D(y)| - o + 1 elements meet. A set that did not link has |D(x)| over the
+    difference allowed to it and the pivot, so a linked one overlaps it by (|D(y)| + 1 - g) / 2, g being how much
+    more may be allowed to y than to the pivot because it is larger. Of two that did not link, the one with the
+    smaller D overlaps the other by |D(x)| - K div 2 (short prefix); any by |D(x)| - K and by (|D(x)| + 1 - K) / 2
+    (long prefix). Each pair has a linked or short prefix on one side, and a long one on the other.
     """
-    signed = docs.where("doc_id is not null").transform(in_arrow, _sign(size, percent), "signature long, node long")
-    common = signed.groupBy("signature").agg(F.count("*").alias("n")).where("n > 1").select("signature")
-    rows = stage(signed.join(common, "signature").join(nodes, "node", "left_semi").select("signature", "node", F.col("node").alias("component")), "common")
-    shared = rows.groupBy("signature").agg(F.count("*").alias("n")).where("n > 1")
-    rows = stage(rows.join(shared, "signature"), "shared")
-    links, found, pivots = None, None, 1
+    less, plus = 100 - percent, 100 + percent
+    g = f"((greatest(size_b - size_a, 0) * {less} + {plus - 1}) div {plus})"
+    k = f"((size_b * {less}) div {percent})"
+    linked = f"d - greatest(1, (d + 2 - {g}) div 2) + 1"
+    short = f"least(d, {k} div 2 + 1)"
+    long = f"greatest({short}, d - greatest(1, d - {k}, (d + 2 - {k}) div 2) + 1)"
+    return linked, short, long
+
+
+def _dealt_again(apart: DataFrame, percent: int) -> DataFrame:
+    """(signature, node, component, small, large) by the prefixes of the differences from a pivot (rows of ``compare`` with components)."""
+    elements = apart.select("a", "b", F.explode("apart").alias("e"))
+    shared = elements.groupBy("a", "e").agg(F.count("*").alias("n")).where("n > 1")
+    # Elements that no other set has come first in a prefix and meet nothing, so they are only counted.
+    ranked = elements.join(shared, ["a", "e"]).groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("n", "e"))).alias("held"))
+    linked, short, long = (F.expr(x) for x in _lengths(percent))
+    lengths = apart.withColumn("d", F.size("apart")).select("a", "b", "linked", F.col("of_b").alias("component"), "d", F.when(F.col("linked"), linked).otherwise(short).alias("one"), F.when(F.col("linked"), 0).otherwise(long).alias("other"))
+    placed = lengths.join(ranked, ["a", "b"]).select("a", "b", "component", "one", "other", F.expr("d - size(held)").alias("alone"), F.posexplode("held").alias("place", "x"))
+    placed = placed.withColumn("rank", F.expr("alone + place + 1")).where("rank <= greatest(one, other)")
+    return placed.select(F.xxhash64("a", F.col("x.e")).alias("signature"), F.col("b").alias("node"), "component", F.expr("rank <= one").alias("small"), F.expr("rank <= other").alias("large"))
+
+
+def _link_components(docs: DataFrame, signed_docs: DataFrame, nodes: DataFrame, known: DataFrame, size: int, percent: int) -> DataFrame:
+    """(node, component) of the nodes that link; ``known``: a staged table of links (a, b) to start from."""
+    signed = signed_docs.transform(in_arrow, _sign(size, percent), "signature long, node long")
+    # The signatures of all documents are far more than the shared ones: they are made once to count them, once to find their nodes.
+    common = stage(signed.groupBy("signature").agg(F.count("*").alias("n")).where("n > 1").select("signature"), "common")
+    release(docs.sparkSession)
+    rows = stage(signed.join(common, "signature").distinct().select("signature", "node", F.col("node").alias("component"), F.lit(True).alias("small"), F.lit(True).alias("large")), "rows")
+    drop(common)
+    links = known
     while True:
-        weight = rows.groupBy("node").agg(F.sum("n").alias("weight"))
-        first = rows.join(weight, "node").groupBy("signature").agg(F.max(F.struct("weight", (-F.col("node")).alias("least"))).alias("best")).select("signature", (-F.col("best.least")).alias("pivot"))
-        first = cut(first)
-        central = rows.join(first, "signature").where("node <> pivot")
-        pairs = central.select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-        if pivots > 1:
-            order = Window.partitionBy("signature").orderBy("node")
-            more = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") < pivots).select("signature", F.col("node").alias("other"), F.col("component").alias("of"))
-            pairs = pairs.union(rows.join(more, "signature").where("component <> of").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")))
-        pairs = cut(pairs.distinct())
-        if links is not None and pairs.isEmpty():
-            return found
-        compared = stage(compare(docs, pairs, size, percent), "compared")
-        new = compared.where("linked").select("a", "b")
-        links = cut(new if links is None else links.union(new))
+        sides = rows.groupBy("signature").agg(
+            F.count_if("small").alias("small_n"), F.count_if("large").alias("large_n"), F.count("*").alias("n"), F.min("component").alias("least"), F.max("component").alias("most")
+        ).where("least < most and small_n > 0 and large_n > 0").select("signature", "n", F.expr(f"least(small_n, large_n) <= {SMALL}").alias("few"))
+        held = stage(rows.join(sides, "signature"), "held")
+        drop(rows)
+        few, many = held.where("few"), held.where("not few")
+        left = few.where("small").select("signature", F.col("node").alias("a"), F.col("component").alias("of_a"))
+        right = few.where("large").select("signature", F.col("node").alias("b"), F.col("component").alias("of_b"))
+        direct = left.join(right, "signature").where("of_a <> of_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(False).alias("deal"))
+        weight = many.groupBy("node").agg(F.sum("n").alias("weight"))
+        first = many.join(weight, "node").groupBy("signature").agg(F.max(F.struct("weight", "node")).alias("best")).select("signature", F.col("best.node").alias("a"))
+        central = many.join(first, "signature").where("node <> a").select("a", F.col("node").alias("b"), F.lit(True).alias("deal"))
+        pairs = stage(direct.union(central).groupBy("a", "b").agg(F.max("deal").alias("deal")), "pairs")
+        compared = stage(compare(docs, nodes, pairs, size, percent), "compared")
+        drop(held, pairs)
+        before, links = links, stage(links.union(compared.where("linked").select("a", "b")), "links")
+        drop(before)
         found = components(links)
-        # Groups with more nodes than were compared with all the others are dealt out again.
-        again = central.where(F.col("n") > max(pivots, 2)).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
         of_a = found.select(F.col("node").alias("a"), F.col("component").alias("of_a"))
         of_b = found.select(F.col("node").alias("b"), F.col("component").alias("of_b"))
-        apart = compared.where("size(apart) > 0").join(again, ["a", "b"], "left_semi").join(of_b, "b", "left").join(of_a, "a", "left")
-        apart = apart.select("a", "b", "apart", F.coalesce("of_a", "a").alias("of_a"), F.coalesce("of_b", "b").alias("of_b"))
-        several = apart.groupBy("a").agg(F.min(F.least("of_a", "of_b")).alias("least"), F.max(F.greatest("of_a", "of_b")).alias("most")).where("least < most").select("a")
-        dealt = stage(apart.join(several, "a", "left_semi").select("a", F.explode("apart").alias("e"), F.col("b").alias("node"), F.col("of_b").alias("component")).select(F.xxhash64("a", "e").alias("signature"), "node", "component"), "apart")
-        mixed = dealt.groupBy("signature").agg(F.count("*").alias("n"), F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("signature", "n")
-        rows = stage(dealt.join(mixed, "signature").select("signature", "node", "component", "n"), "shared")
-        pivots *= 8
+        apart = compared.where("size(apart) > 0").join(of_b, "b", "left").join(of_a, "a", "left").withColumn("of_a", F.coalesce("of_a", "a")).withColumn("of_b", F.coalesce("of_b", "b"))
+        # Where all sets that were compared with a pivot are of one component with each other, nothing is left to find.
+        mixed = apart.groupBy("a").agg(F.min("of_b").alias("least"), F.max("of_b").alias("most")).where("least < most").select("a")
+        rows = stage(_dealt_again(apart.join(mixed, "a", "left_semi"), percent), "rows")
+        drop(compared)
+        if rows.isEmpty():
+            drop(rows, links)
+            return found
+        drop(found)
+
+
+def components_of(docs: DataFrame, size: int, percent: int, by_id: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Staged tables of all rows (doc_id, text_hash, n_shingles, node), and of nodes (node, component_id, doc_id, text_hash).
+
+    A node is a set of shingles; ``doc_id`` and ``text_hash`` are those of its first row. Rows with a null id give no node.
+    ``by_id``: whether different texts of one id are in one component.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("text_hash", F.xxhash64("text"))
+    rows = stage(docs.transform(in_arrow, _describe(size), "doc_id long, text_hash long, n_shingles long, node long"), "rows")
+    usable = rows.where("n_shingles > 0 and doc_id is not null")
+    nodes = stage(usable.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")).select("node", "first.*"), "nodes")
+    # Only documents that give nodes are signed: ids all of whose texts are copies go.
+    copies = usable.select("doc_id").distinct().join(nodes.select("doc_id").distinct(), "doc_id", "left_anti")
+    named = docs.where("doc_id is not null")
+    own = named.join(broadcast_if(stage(copies, "copies"), BROADCAST_ROWS), "doc_id", "left_anti")
+    several = usable.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last").select("doc_id", "a")
+    same = usable.join(several, "doc_id").where("node <> a").select("a", F.col("node").alias("b"))
+    found = _link_components(named, own, nodes, stage(same.distinct() if by_id else same.where("false"), "same"), size, percent)
+    ids = found.join(nodes, "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named_nodes = nodes.join(found.join(ids, "component"), "node", "left")
+    out = stage(named_nodes.select("node", F.coalesce("component_id", "doc_id").alias("component_id"), "doc_id", "text_hash"), "components")
+    drop(nodes, found)
+    return rows, out
 
 
 def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id (least doc_id reachable by links).
 
     Words are lower-cased (A-Z). A text of fewer words than ``size`` is one shingle; a null text, an empty
-    one and one without words has no shingle and links with nothing. A row with a null id has a null
-    component; rows repeated under one id give one row each, all in one component.
+    one and one without words has no shingle and links with nothing. A row with a null id links with nothing
+    and has a null component. Rows repeated under one id give one row each, all in one component, also where
+    their texts differ: then each text links for itself.
+    """
+    rows, nodes = components_of(docs, size, percent)
+    out = rows.join(nodes.select("node", "component_id"), "node", "left").withColumn("component_id", F.expr("if(doc_id is null, null, if(n_shingles > 0, component_id, doc_id))"))
+    return out.select("doc_id", "n_shingles", "component_id")
+
+
+def first_of_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` with one row of each group of linked ones: that of the least id, then of the least text hash.
+
+    A row with a null id takes part under an id of its own, from its text's hash, larger than others. Rows that
+    repeat an id and a text are one; texts without words link with nothing and stay.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = stage(docs.transform(in_arrow, _describe(size), "doc_id long, n_shingles long, set_a long, set_b long"), "sets")
-    nodes = cut(sets.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node")).where("node is not null"))
-    found = _link_components(docs, nodes.select("node"), size, percent)
-    return (
-        sets.join(nodes, ["set_a", "set_b"], "left")
-        .withColumn("node", F.expr("if(n_shingles > 0, node, doc_id)"))
-        .join(found, "node", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
-        .withColumn("component_id", F.expr("if(doc_id is null, null, component_id)"))
-    )
+    own, mark = "doc_id_", "text_hash_"
+    keyed = docs.withColumn(own, F.coalesce(F.col("doc_id").cast("long"), F.expr("9223372036854775807 - shiftrightunsigned(xxhash64(text), 2)"))).withColumn(mark, F.xxhash64("text"))
+    rows, nodes = components_of(keyed.select(F.col(own).alias("doc_id"), "text"), size, percent, by_id=False)
+    first = nodes.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")).select("first.*")
+    gone = stage(rows.where("n_shingles > 0").select("doc_id", "text_hash").distinct().join(first, ["doc_id", "text_hash"], "left_anti").toDF(own, mark), "gone")
+    kept = keyed.join(broadcast_if(gone, BROADCAST_ROWS), [own, mark], "left_anti")
+    repeated = stage(rows.groupBy("doc_id", "text_hash").count().where("count > 1").select("doc_id", "text_hash").toDF(own, mark), "repeated")
+    if not repeated.isEmpty():
+        again = broadcast_if(repeated, BROADCAST_ROWS)
+        once = kept.join(again, [own, mark], "left_semi").select(*keyed.columns).dropDuplicates([own, mark])
+        kept = kept.join(again, [own, mark], "left_anti").select(*keyed.columns).union(once)
+    return kept.select(*docs.columns)

@@ -19,10 +19,12 @@ from math import log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sqlloom.llm.staging import cut, stage
+from sqlloom.llm.staging import broadcast_if, cut, stage
 
 #: Labelled rows that the rules are learned from: at most this many, those with the smallest hash of doc_id.
 LABELLED_ROWS = 20_000
+#: Rejected texts' hashes are sent to all executors up to this many (8 bytes each), else joined by shuffle.
+BROADCAST_ROWS = 1 << 20
 #: Bins of a statistic; conditions of a rule; rules of a list.
 BINS, CONDITIONS, RULES = 32, 3, 8
 #: A rule must reach this precision on both parts, and cover so many bad rows while growing.
@@ -63,9 +65,9 @@ def _count_of(text: str, pattern: str) -> str:
     return f"(char_length({text}) - char_length(regexp_replace({text}, '{pattern}', '')))"
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and what the rules test."""
-    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+def statistics(docs: DataFrame, *more: str) -> DataFrame:
+    """Per row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and what the rules test; then columns of SQL over docs."""
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *map(F.expr, more))
     marked = marked.withColumn("words", F.expr(f"regexp_extract_all(text, r'{WORD}', 0)"))
     marked = marked.withColumn("lines", F.expr(r"filter(split(text, '\n'), l -> l rlike r'[^\x20\x09-\x0D]')"))
     # One long for each 3-word window, then the windows sorted by it: equal ones become neighbours.
@@ -89,6 +91,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         F.expr(_count_of("text", "[A-Z]")).alias("n_upper"),
         F.expr(_count_of("text", "[0-9]")).alias("n_digits"),
         F.expr(_count_of("text", "[!?]")).alias("n_marks"),
+        *[x.rpartition(" ")[2] for x in more],
     )
 
 
@@ -170,6 +173,17 @@ def rule_expression(rules: list[Rule]) -> Column:
     return F.expr(out if rules else "0")
 
 
+def _judged(docs: DataFrame, labels: DataFrame, *more: str) -> DataFrame:
+    """Per row of ``docs``: the statistics, base_failed, rule, kept, and the columns ``more`` of SQL over docs."""
+    stats = stage(statistics(docs, *more), "statistics")
+    tested = _with_tested(stats)
+    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality in (0, 1)")
+    rules = learn_rules(tested.join(marks, "doc_id"))
+    failed = F.expr(f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEATED} * n_words")
+    judged = tested.withColumn("base_failed", failed).withColumn("rule", rule_expression(rules))
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): the base statistics, base_failed, rule (number, 0: none) and kept.
 
@@ -177,10 +191,11 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     row with a null id is judged like the others; rows repeated under one id give one row each, and count
     as often in learning. Without labels, or without two classes, there are no rules and the base decides.
     """
-    stats = stage(statistics(docs), "statistics")
-    tested = _with_tested(stats)
-    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality in (0, 1)")
-    rules = learn_rules(tested.join(marks, "doc_id"))
-    failed = F.expr(f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEATED} * n_words")
-    judged = tested.withColumn("base_failed", failed).withColumn("rule", rule_expression(rules))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("rule") == 0)).alias("kept"), "rule")
+    return _judged(docs, labels).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are kept; a row goes by its own text, also where its id is null or repeated."""
+    mark = "text_hash_"
+    rejected = stage(_judged(docs, labels, f"xxhash64(text) as {mark}").where("not kept").select(mark).distinct(), "rejected")
+    return docs.withColumn(mark, F.xxhash64("text")).join(broadcast_if(rejected, BROADCAST_ROWS), mark, "left_anti").select(*docs.columns)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -14,11 +15,13 @@ from sqlloom.session import ship_package
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; set to a temporary one only where it is unset."""
+    """The folder in ``spark.checkpoint.dir``; where it is unset, a temporary one in local mode, else an error."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
         path = getattr(spark.sparkContext, "_sqlloom_dir", None)
         if not path:
+            if spark.sparkContext.master.partition("[")[0] != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             path = "file://" + tempfile.mkdtemp(prefix="sqlloom-")
             spark.sparkContext._sqlloom_dir = path
     if not spark.sparkContext.getCheckpointDir():
@@ -26,18 +29,39 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def _file_system(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def stage(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lost executors recompute nothing before it.
 
-    The table is deleted when the driver's JVM ends, since the returned frame is lazy.
+    The table is deleted by ``drop``, or when the driver's JVM ends, since the returned frame is lazy.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sqlloom-{uuid.uuid4().hex}-{name}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    target, files = _file_system(spark, path)
+    files.deleteOnExit(target)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._sqlloom_path = path
+    return out
+
+
+def drop(*frames: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more, and the shuffle files of plans that are gone."""
+    for df in frames:
+        target, files = _file_system(df.sparkSession, df._sqlloom_path)
+        files.delete(target, True)
+    if frames:
+        release(frames[0].sparkSession)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of plans that nothing refers to; it learns of them from the collectors."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def cut(df: DataFrame) -> DataFrame:

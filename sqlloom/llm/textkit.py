@@ -133,7 +133,10 @@ def signed(h: np.ndarray) -> np.ndarray:
 
 
 def group_sum64(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """Sums of 64-bit values by index, modulo 2**64; exact for up to 2**21 values an index."""
-    low = np.bincount(index, (values & np.uint64(0xFFFFFFFF)).astype(np.float64), n)
-    high = np.bincount(index, (values >> np.uint64(32)).astype(np.float64), n)
-    return low.astype(np.uint64) + (high.astype(np.uint64) << np.uint64(32))
+    """Sums of 64-bit values by index, modulo 2**64; exact for any number of values below 2**37."""
+    width = 32 if len(values) <= 1 << 21 else 16  # partial sums stay below 2**53, where doubles are exact
+    total, mask = np.zeros(n, np.uint64), np.uint64((1 << width) - 1)
+    for shift in range(0, 64, width):
+        part = np.bincount(index, ((values >> np.uint64(shift)) & mask).astype(np.float64), n)
+        total += part.astype(np.uint64) << np.uint64(shift)
+    return total

@@ -98,24 +98,27 @@ def test_substring_dedup_edges(spark):
 
 
 def brute_components(rows, size, percent):
+    """Rows with a null id left out; rows repeated under one id are one document with several sets."""
     sets = {}
-    for i, t in rows:
+    for n, (i, t) in enumerate(rows):
         w = [x.translate(LOWER) for x in words(t)]
-        sets[i] = {tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} if w else set()
-    label = {i: i for i in sets}
+        if i is not None:
+            sets[n] = {tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} if w else set()
+    label = {rows[n][0]: rows[n][0] for n in sets}
 
     def root(i):
         while label[i] != i:
             i = label[i]
         return i
 
-    ids = sorted(sets)
-    for x, a in enumerate(ids):
-        for b in ids[x + 1 :]:
+    order = sorted(sets)
+    for x, a in enumerate(order):
+        for b in order[x + 1 :]:
             common = len(sets[a] & sets[b])
             if common and 100 * common >= percent * len(sets[a] | sets[b]):
-                label[max(root(a), root(b))] = min(root(a), root(b))
-    return {i: (len(sets[i]), root(i)) for i in sets}
+                i, j = root(rows[a][0]), root(rows[b][0])
+                label[max(i, j)] = min(i, j)
+    return {rows[n][0]: (len(sets[n]), root(rows[n][0])) for n in sets}
 
 
 @pytest.mark.parametrize(("size", "percent"), [(3, 90), (5, 80)])
@@ -132,6 +135,65 @@ def test_jaccard_components(spark, size, percent):
     assert got == brute_components(rows, size, percent)
 
 
+@pytest.mark.parametrize(("size", "percent"), [(3, 90), (5, 80)])
+def test_jaccard_hot_group(spark, size, percent, monkeypatch):
+    """One large group of near copies: a third of all rows, some linked only through others, some with each other but not the base."""
+    rng = random.Random(31)
+    monkeypatch.setattr(jaccard_join, "CHUNK", 16)
+    base = [f"b{i}" for i in range(130)]
+    rows = [(i, " ".join(f"o{rng.randrange(10**6)}" for _ in range(rng.randint(5, 90)))) for i in range(300)]
+    for k in range(220):
+        w = list(base)
+        if k % 3 == 0:
+            w[20:45] = [f"v{k % 4}_{i}" for i in range(25)]  # a variant, itself with near copies
+        for _ in range(rng.randint(0, 7)):
+            at = rng.randrange(len(w))
+            w[at : at + 1] = rng.choice([[], ["new%d" % rng.randrange(900)], [w[at], "more%d" % rng.randrange(40)]])
+        rows.append((1000 + k, " ".join(w)))
+    rng.shuffle(rows)
+    got = {i: (r["n_shingles"], r["component_id"]) for i, r in collected(jaccard_join.jaccard_components(frame(spark, rows), size, percent)).items()}
+    want = brute_components(rows, size, percent)
+    assert got == want and len({c for i, (_, c) in want.items() if i >= 1000}) > 5
+
+
+def test_prefixes_meet():
+    """Any two sets that link meet in a linked or short prefix of one and a long prefix of the other."""
+    from pyspark.sql import functions  # noqa: F401  the lengths are SQL; here the same integers in Python
+
+    rng = random.Random(8)
+    met = 0
+    for percent in (80, 90):
+        lengths = [x.replace(" div ", " // ").replace("greatest", "max").replace("least", "min") for x in jaccard_join._lengths(percent)]
+        for _ in range(4000):
+            n = rng.randint(8, 70)
+            pivot = set(range(n))
+            change = lambda s, m: (s - set(rng.sample(sorted(s), min(len(s) - 1, rng.randint(0, m))))) | {rng.randrange(1000, 1040) for _ in range(rng.randint(0, m))}
+            x = change(pivot, n // 3)
+            y = change(x if rng.random() < 0.7 else pivot, n // 8)
+            links = lambda a, b: 100 * len(a & b) >= percent * len(a | b)
+            if x == y or x == pivot or y == pivot or not links(x, y) or links(x, pivot) and links(y, pivot):
+                continue
+            order = {e: rng.random() for e in x | y | pivot}
+            prefixes = []
+            for s in (x, y):
+                apart = sorted(s ^ pivot, key=order.get)
+                one, short, long = (eval(e, {"max": max, "min": min}, {"d": len(apart), "size_a": n, "size_b": len(s)}) for e in lengths)
+                prefixes.append((set(apart[: one if links(s, pivot) else short]), set() if links(s, pivot) else set(apart[:long])))
+            assert prefixes[0][0] & prefixes[1][1] or prefixes[0][1] & prefixes[1][0], (percent, n)
+            met += 1
+    assert met > 300
+
+
+def test_jaccard_repeated_ids(spark):
+    text = [f"w{i}" for i in range(80)]
+    near, other = " ".join([*text[:-1], "changed"]), " ".join(f"z{i}" for i in range(30))
+    rows = [(1, other), (1, " ".join(text)), (7, near), (0, other), (9, "alone"), (None, near), (5, ""), (5, "alone")]
+    got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(frame(spark, rows)).collect())
+    assert got == [(-1, 78, None), (0, 28, 0), (1, 28, 0), (1, 78, 0), (5, 0, 5), (5, 1, 5), (7, 78, 0), (9, 1, 5)]
+    kept = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["text"]) for r in jaccard_join.first_of_groups(frame(spark, [*rows, rows[0], (None, "new text")]), 3, 90).collect())
+    assert kept == sorted([(0, other), (1, " ".join(text)), (5, ""), (5, "alone"), (-1, "new text")])
+
+
 def test_jaccard_edges(spark):
     rows = [(None, "a b c d"), (5, "a b c d"), (5, "a b c d"), (3, "A b C d"), (8, None)]
     got = sorted(((r["doc_id"] or -1), r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(frame(spark, rows)).collect() if True)
