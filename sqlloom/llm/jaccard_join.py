@@ -38,8 +38,8 @@ from sqlloom.llm.staging import broadcast_if, drop, in_arrow, release, stage
 BROADCAST_ROWS = 1 << 18
 #: Upper end over lower end of a size band; groups beyond the necessary ones.
 BAND, SPARE = 1.4, 1
-#: Groups in which one side has at most so many sets are compared pair by pair; sets compared with a pivot by one task.
-SMALL, CHUNK = 4, 256
+#: Groups in which one side has at most so many sets are compared pair by pair, at first and when dealt again; sets compared with a pivot by one task.
+SMALL, SMALL_AGAIN, CHUNK = 4, 16, 256
 #: The parts of a group that make a signature.
 _SUBSETS = ((0, 1), (0, 2), (1, 2))
 
@@ -250,13 +250,17 @@ def _link_components(docs: DataFrame, signed_docs: DataFrame, nodes: DataFrame,
     release(docs.sparkSession)
     rows = stage(signed.join(common, "signature").distinct().select("signature", "node", F.col("node").alias("component"), F.lit(True).alias("small"), F.lit(True).alias("large")), "rows")
     drop(common)
-    links = known
+    found, small = components(known), SMALL
+    drop(known)
     while True:
         sides = rows.groupBy("signature").agg(
             F.count_if("small").alias("small_n"), F.count_if("large").alias("large_n"), F.count("*").alias("n"), F.min("component").alias("least"), F.max("component").alias("most")
-        ).where("least < most and small_n > 0 and large_n > 0").select("signature", "n", F.expr(f"least(small_n, large_n) <= {SMALL}").alias("few"))
+        ).where("least < most and small_n > 0 and large_n > 0").select("signature", "n", F.expr(f"least(small_n, large_n) <= {small}").alias("few"))
         held = stage(rows.join(sides, "signature"), "held")
         drop(rows)
+        if held.isEmpty():
+            drop(held)
+            return found
         few, many = held.where("few"), held.where("not few")
         left = few.where("small").select("signature", F.col("node").alias("a"), F.col("component").alias("of_a"))
         right = few.where("large").select("signature", F.col("node").alias("b"), F.col("component").alias("of_b"))
@@ -267,20 +271,33 @@ def _link_components(docs: DataFrame, signed_docs: DataFrame, nodes: DataFrame,
         pairs = stage(direct.union(central).groupBy("a", "b").agg(F.max("deal").alias("deal")), "pairs")
         compared = stage(compare(docs, nodes, pairs, size, percent), "compared")
         drop(held, pairs)
-        before, links = links, stage(links.union(compared.where("linked").select("a", "b")), "links")
-        drop(before)
-        found = components(links)
-        of_a = found.select(F.col("node").alias("a"), F.col("component").alias("of_a"))
-        of_b = found.select(F.col("node").alias("b"), F.col("component").alias("of_b"))
-        apart = compared.where("size(apart) > 0").join(of_b, "b", "left").join(of_a, "a", "left").withColumn("of_a", F.coalesce("of_a", "a")).withColumn("of_b", F.coalesce("of_b", "b"))
+        found = _joined(found, compared.where("linked").select("a", "b"))
+        apart = _with_components(compared.where("size(apart) > 0"), found)
         # Where all sets that were compared with a pivot are of one component with each other, nothing is left to find.
         mixed = apart.groupBy("a").agg(F.min("of_b").alias("least"), F.max("of_b").alias("most")).where("least < most").select("a")
         rows = stage(_dealt_again(apart.join(mixed, "a", "left_semi"), percent), "rows")
         drop(compared)
-        if rows.isEmpty():
-            drop(rows, links)
-            return found
-        drop(found)
+        small = SMALL_AGAIN
+
+
+def _with_components(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """``pairs`` with of_a and of_b, the components of a and b; a node that has no link is one of its own."""
+    of_a = found.select(F.col("node").alias("a"), F.col("component").alias("of_a"))
+    of_b = found.select(F.col("node").alias("b"), F.col("component").alias("of_b"))
+    return pairs.join(of_b, "b", "left").join(of_a, "a", "left").withColumn("of_a", F.coalesce("of_a", "a")).withColumn("of_b", F.coalesce("of_b", "b"))
+
+
+def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (node, component; staged) after more links: those between components join whole components."""
+    between = stage(_with_components(links, found).where("of_a <> of_b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct(), "between")
+    if between.isEmpty():
+        drop(between)
+        return found
+    joined = components(between)
+    moved = found.join(joined.select(F.col("node").alias("component"), F.col("component").alias("now")), "component", "left").select("node", F.coalesce("now", "component").alias("component"))
+    out = stage(moved.union(joined.join(found, "node", "left_anti").select("node", "component")), "found")
+    drop(between, joined, found)
+    return out
 
 
 def components_of(docs: DataFrame, size: int, percent: int, by_id: bool = True) -> tuple[DataFrame, DataFrame]:
