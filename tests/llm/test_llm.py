@@ -387,6 +387,42 @@ def test_decontamination_at_edges(spark):
     assert all(abs(got[k][1] - brute[k][1]) < 1e-9 for k in brute)
 
 
+def test_decontamination_recall(spark):
+    """Against brute force over all windows: reordered, repeated and changed items, in longer texts, with ties and repeated rows."""
+    rng = random.Random(44)
+    text = lambda k, v="v": [f"{v}{rng.randrange(700)}" for _ in range(k)]
+    items = [(i, text(rng.choice([3, 5, 12, 25, 40, 40, 90]))) for i in range(14)] + [(20, text(6, "r") * 5), (21, [f"w{k}" for k in range(40)])]
+    rows = [(500, [f"w{k}" for k in range(20, 40)] + [f"w{k}" for k in range(20)]), (501, text(30) + [f"w{k}" for k in range(20, 40)] + [f"w{k}" for k in range(20)] + text(9)), (502, text(2) + items[0][1] * 3)]
+    for d in range(120):
+        w = list(items[d % 16][1])
+        for _ in range(rng.randint(0, 2)):
+            at = rng.randrange(len(w))
+            w[at : at + 1] = rng.choice([["changed"], [], [w[at], "more"]])
+        if rng.random() < 0.3:
+            at = rng.randrange(len(w) + 1)
+            w = w[at:] + w[:at]
+        rows.append((d, text(rng.randint(0, 60)) + w + text(rng.randint(0, 60))))
+    rows.append(rows[5])
+    benchmark = spark.createDataFrame([(i, " ".join(w).upper()) for i, w in items], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["start"], r["similarity"]) for r in decontaminate.contaminated(frame(spark, [(i, "\n".join(w)) for i, w in rows]), benchmark).collect()}
+    brute = {}
+    for d, have in rows:
+        for i, w in items:
+            n, k = min(len(w), len(have)), min(5, len(w))
+            grams = lambda x: Counter(tuple(x[a : a + k]) for a in range(len(x) - k + 1))  # noqa: E731, B023
+            for s in range(len(have) - n + 1):
+                a, b = grams(have[s : s + n]), grams(w)
+                if b and 100 * (a & b).total() >= 80 * (a | b).total() and (a & b).total() / (a | b).total() > brute.get((d, i), (0, 0))[1]:
+                    brute[d, i] = (s, (a & b).total() / (a | b).total())
+    assert (500, 21) in got and (501, 21) in got
+    assert set(got) <= set(brute) and all(abs(got[x][1] - brute[x][1]) < 1e-9 and got[x][0] == brute[x][0] for x in got)
+    assert len(got) == len(brute) > 60, len(got) / len(brute)
+    long = text(900)
+    assert decontaminate.contaminated(frame(spark, [(1, " ".join(text(50) + long)), (2, " ".join(text(40_000)))]), spark.createDataFrame([(7, " ".join(long))], "item_id long, text string")).collect()[0][:3] == (1, 7, 50)
+    same = spark.createDataFrame([(" ".join(long),)], "t string").select(decontaminate._words(decontaminate.F.col("t")).alias("w")).select(decontaminate._fingerprint("w"), decontaminate.F.expr(decontaminate._lanes("w", 32))).first()
+    assert same[0] == same[1] != 0
+
+
 def test_html(spark):
     rng = random.Random(3)
     text = lambda k: " ".join(rng.choice(["sun", "moon", "star", "of", "the", "light", "caf&eacute;"]) for _ in range(k))
