@@ -1,10 +1,11 @@
 """Toxicity by compression distance to two zstandard dictionaries.
 
-Two dictionaries are trained, one on toxic and one on ordinary labelled texts. Each is raw content: a part
-of its own, then a part in common. A dictionary's own part holds the words that stand in its class in many
-different contexts (the words before and after; copies of a text thus count once) and in the other class
-in comparatively few. The common part is trained by zstandard's own trainer on ordinary text; it lies at
-the same distance in both, so ordinary words cost the same under either.
+Two dictionaries are trained by zstandard's own trainer, one on toxic and one on ordinary labelled texts. Texts of both
+classes are mostly alike, and a trainer that sees all of them finds only that; so each is trained on the passages of
+its class that tell the classes apart: a word with its neighbours, for words that stand in one class in many different
+contexts (copies of a text thus count once) and in the other in comparatively few. Each is raw content, followed by a
+part in common, trained on windows of all ordinary texts; it lies at the same distance in both, so ordinary words cost
+the same under either.
 
 A text is cut into windows of ``WINDOW`` words (all of it, each word once). A window's distance is its
 compressed length under the ordinary dictionary less that under the toxic one. A text's distances give a
@@ -16,7 +17,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -32,8 +33,10 @@ from sqlloom.llm.staging import broadcast_if, in_arrow, stage
 LABELLED_ROWS = 6_000
 #: Windows of ordinary texts that the common part is trained on: those with the smallest hash of doc_id and window.
 COMMON_WINDOWS = 40_000
-#: Words of a window; bytes of a dictionary's own and common parts.
-WINDOW, OWN_BYTES, COMMON_BYTES = 12, 16 << 10, 16 << 10
+#: Words of a window; words on each side of a telling one; bytes of a dictionary's own and common parts.
+WINDOW, AROUND, OWN_BYTES, COMMON_BYTES = 12, 1, 2 << 10, 16 << 10
+#: Passages that a dictionary's own part is trained on: those with the smallest hash.
+PASSAGES = 200_000
 #: A word belongs to a class from so many contexts there, and this many times as often as in the other.
 CONTEXTS, TIMES = 6, 8
 #: Remainder of crc32(doc_id) modulo 5 that is held out, and the one that calibrates.
@@ -65,17 +68,26 @@ def _add_contexts(words: list[bytes], seen: set[int], counts: Counter[bytes]) ->
             counts[around[1]] += 1
 
 
-def _own_part(mine: Counter[bytes], other: Counter[bytes]) -> bytes:
+def _telling(mine: Counter[bytes], other: Counter[bytes]) -> frozenset[bytes]:
+    """The words that stand in many contexts of a class, and in comparatively few of the other one."""
     mine_all, other_all = max(1, sum(mine.values())), max(1, sum(other.values()))
-    chosen = [w for w, n in mine.items() if n >= CONTEXTS and len(w) > 3 and n / mine_all > TIMES * (other[w] + 0.5) / other_all]
-    chosen.sort(key=lambda w: (-mine[w] * len(w), w))
-    out, size = [], 0
-    for w in chosen:
-        if size + len(w) + 2 > OWN_BYTES:
-            break
-        out.append(b" " + w + b" ")
-        size += len(w) + 2
-    return b"".join(reversed(out)).rjust(OWN_BYTES, b"\0")
+    return frozenset(w for w, n in mine.items() if n >= CONTEXTS and len(w) > 3 and n / mine_all > TIMES * (other[w] + 0.5) / other_all)
+
+
+def _passages(words: list[bytes], telling: frozenset[bytes], seed: int) -> Iterator[tuple[int, bytes]]:
+    """(hash, passage) around each telling word of a text."""
+    bare = [w.strip(_EDGE) for w in words]
+    for i, w in enumerate(bare):
+        if w in telling:
+            yield zlib.crc32(str(i).encode(), seed), b" " + b" ".join(bare[max(0, i - AROUND) : i + AROUND + 1]) + b" "
+
+
+def _trained(size: int, samples: list[bytes], k: int) -> bytes:
+    """A dictionary of ``size`` bytes, or the samples themselves where they are too few to train on."""
+    try:
+        return zstandard.train_dictionary(size, samples, k=k, d=6).as_bytes()[-size:]
+    except zstandard.ZstdError:
+        return b"".join(dict.fromkeys(samples))[-size:]
 
 
 @dataclass
@@ -135,12 +147,12 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def learn(rows: Iterable[tuple[int, str, int]]) -> Model:
-    """The dictionaries, not calibrated, from doc_id, text, toxic; texts are read one at a time."""
+def learn(read: Callable[[], Iterable[tuple[int, str, int]]]) -> Model:
+    """The dictionaries, not calibrated, from rows of doc_id, text, toxic, which are read twice, one text at a time."""
     seen: list[set[int]] = [set(), set()]
     by_class: list[Counter[bytes]] = [Counter(), Counter()]
     chosen: list[tuple[int, bytes]] = []
-    for d, t, y in rows:
+    for d, t, y in read():
         words = _words(t)
         _add_contexts(words, seen[y], by_class[y])
         if not y:
@@ -148,12 +160,15 @@ def learn(rows: Iterable[tuple[int, str, int]]) -> Model:
             chosen += [(zlib.crc32(x, of_id), x) for x in _windows(words)]
             if len(chosen) > 4 * COMMON_WINDOWS:
                 chosen = sorted(chosen)[:COMMON_WINDOWS]
-    samples = [x for _, x in sorted(chosen)[:COMMON_WINDOWS]]
-    try:
-        common = zstandard.train_dictionary(COMMON_BYTES, samples, k=30, d=6).as_bytes()
-    except zstandard.ZstdError:  # too few samples to train on
-        common = b"".join(samples)[-COMMON_BYTES:]
-    return Model(_own_part(by_class[1], by_class[0]) + common, _own_part(by_class[0], by_class[1]) + common, np.zeros(6), np.ones(6), np.zeros(7))
+    common = _trained(COMMON_BYTES, [x for _, x in sorted(chosen)[:COMMON_WINDOWS]], 30)
+    telling = [_telling(by_class[y], by_class[1 - y]) for y in (0, 1)]
+    passages: list[list[tuple[int, bytes]]] = [[], []]
+    for d, t, y in read():
+        passages[y] += _passages(_words(t), telling[y], zlib.crc32(str(d).encode()))
+        if len(passages[y]) > 4 * PASSAGES:
+            passages[y] = sorted(passages[y])[:PASSAGES]
+    ordinary, toxic = (_trained(OWN_BYTES, [x for _, x in sorted(p)[:PASSAGES]], 24).rjust(OWN_BYTES, b"\0") + common for p in passages)
+    return Model(toxic, ordinary, np.zeros(6), np.ones(6), np.zeros(7))
 
 
 def calibrate(model: Model, x: np.ndarray, y: np.ndarray, share: float) -> None:
@@ -171,7 +186,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     ``labels``: doc_id, toxic. A null text counts as empty; an empty text has no window and gets the score
     of zero distances. A row with a null id is scored too; rows repeated under one id give one row each and
-    are learned from as often. Without labels every score is that of the classes' share, or 0.001.
+    are learned from once where their texts are equal. Without labels every score is that of the classes' share, or 0.001.
     """
     from pyspark.sql.types import LongType
 
@@ -180,9 +195,10 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(remainder != HELD_OUT)
     chosen = marks.orderBy(F.xxhash64("doc_id", F.lit("toxic")), "doc_id", "toxic").limit(LABELLED_ROWS)
     sample = docs.join(broadcast_if(chosen, LABELLED_ROWS), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic")
-    sample = stage(sample.limit(2 * LABELLED_ROWS), "labelled")
+    sample = stage(sample.distinct(), "labelled")
     context = docs.sparkSession.sparkContext
-    learned = learn((r["doc_id"], r["text"], r["toxic"]) for r in sample.where(remainder != CALIBRATES).orderBy("doc_id", "text", "toxic").toLocalIterator())
+    taught = sample.where(remainder != CALIBRATES).orderBy("doc_id", "text", "toxic")
+    learned = learn(lambda: ((r["doc_id"], r["text"], r["toxic"]) for r in taught.toLocalIterator()))
     dictionaries = context.broadcast(learned)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

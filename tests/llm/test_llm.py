@@ -274,6 +274,32 @@ def test_toxicity(spark):
     assert [r["score"] < 0.01 for r in toxicity.toxicity(frame(spark, rows[:2]), none).collect()] == [True, True]
 
 
+def test_toxicity_by_brute_force(spark):
+    """Scores are those of compression lengths under the two dictionaries; repeated rows and ties score alike, and an empty table gives none."""
+    rng = random.Random(3)
+    plain = ["".join(rng.choice("aeioustrn") for _ in range(rng.randint(3, 7))) for _ in range(200)]
+    text = lambda bad: " ".join(rng.choice(["grumblax", "fozzwick"] if bad and rng.random() < 0.2 else plain) for _ in range(80))
+    rows = [(i, text(i % 3 == 0), int(i % 3 == 0)) for i in range(150)]
+    model = toxicity.learn(lambda: iter(rows))
+    assert b"grumblax" in model.toxic[: toxicity.OWN_BYTES] and b"grumblax" not in model.ordinary and len(model.toxic) == len(model.ordinary)
+    import zstandard
+
+    for _, t, _ in rows[:20]:
+        w = t.encode().split()
+        windows = [b" " + b" ".join(w[i : i + toxicity.WINDOW]) + b" " for i in range(0, len(w), toxicity.WINDOW)]
+        lengths = []
+        for content, compressor in zip((model.ordinary, model.toxic), model._compressors):
+            back = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+            packed = [compressor.compress(x) for x in windows]
+            assert [back.decompress(p, max_output_size=len(x)) for p, x in zip(packed, windows)] == windows
+            lengths.append([len(p) for p in packed])
+        assert model.distances(t).tolist() == [a - b for a, b in zip(*lengths)]
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    got = toxicity.toxicity(frame(spark, [(i, t) for i, t, _ in rows] + [(7, rows[7][1])] * 2), labels).collect()
+    assert len(got) == 152 and len({r["score"] for r in got if r["doc_id"] == 7}) == 1
+    assert toxicity.toxicity(frame(spark, []), labels).count() == 0
+
+
 def test_toxicity_late_in_texts(spark):
     """Passages after more than 20,000 characters are learned, calibrated and found."""
     rng = random.Random(16)
