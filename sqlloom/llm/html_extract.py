@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from sqlloom.llm.staging import in_arrow
 
-#: Pages that the trees are trained on: at most this many, those with the smallest hash of page_id, of which at most so many characters.
-TRAINING_PAGES, TRAINING_CHARS = 300, 200_000
+#: Pages that the trees are trained on, all of each: at most this many, those with the smallest hash of page_id.
+TRAINING_PAGES = 300
 #: Trees, their depth, the step, and bins of a feature.
 TREES, DEPTH, RATE, BINS = 40, 3, 0.3, 24
 
@@ -44,11 +44,15 @@ OTHER_TOKENS = frozenset(
     recommend recommended related replies reply respond rss search share sharing sidebar signup social sponsor sponsored subscribe subscription tags toolbar
     topbar tracking warning widget""".split()
 )
+#: Left out elements of short content, and elements that these can't hold: one of them ends a short one left open.
+_SHORT = frozenset("button option select textarea datalist".split())
+_PARTS = frozenset("p div ul ol li dl table section article main nav aside header footer form blockquote h1 h2 h3 h4 h5 h6 pre figure".split())
 #: Elements that a start tag of the same group ends.
 _ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _HOLDS = frozenset("ul ol dl table tbody thead tfoot body html div section article main nav aside header footer form blockquote".split())
 
-_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>")
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r"[\"'>]")
 _NAMED = re.compile(r"(?:^|\s)(?:class|id|role|itemprop|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _TOKENS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -80,7 +84,33 @@ class Page:
                 if links:
                     link_chars += len(piece.strip())
 
-        at, n = 0, len(text)
+        n = len(text)
+        vain: set[int] = set()  # marks from which on no tag ends
+        unclosed = {"\"": n, "'": n, "": n}  # from where on a mark isn't closed, or there is none
+
+        def tag_end(start: int) -> int:
+            """The place of the ``>`` that ends a tag, outside of quotation marks; -1 if none does. What was sought in vain isn't sought again."""
+            place, passed = start, []
+            while place < unclosed[""]:
+                stop = _STOP.search(text, place)
+                if not stop:
+                    unclosed[""] = place
+                    break
+                if (mark := stop[0]) == ">":
+                    return stop.start()
+                if stop.start() in vain:
+                    break
+                passed.append(stop.start())
+                end = -1 if stop.end() >= unclosed[mark] else text.find(mark, stop.end())
+                if end < 0:  # a mark that nothing closes is a character like others
+                    unclosed[mark] = min(unclosed[mark], stop.end())
+                    place = stop.end()
+                else:
+                    place = end + 1
+            vain.update(passed)
+            return -1
+
+        at = 0
         while at < n:
             sign = text.find("<", at)
             if sign < 0:
@@ -96,13 +126,14 @@ class Page:
                 end = text.find(">", at)
                 at = n if end < 0 else end + 1
                 continue
-            m = _TAG.match(text, at)
-            if not m:
+            m = _NAME.match(text, at)
+            end = tag_end(m.end()) if m else -1
+            if end < 0:
                 add("<")
                 at += 1
                 continue
-            at = m.end()
-            closes, tag, attributes = m[1], m[2].lower(), m[3]
+            closes, tag, attributes = m[1], m[2].lower(), text[m.end() : end]
+            at = end + 1
             if tag in SKIPPED:
                 if closes:
                     if tag in skipping:
@@ -117,6 +148,10 @@ class Page:
                 continue
             if tag == "body" and not closes:
                 skipping.clear()  # an unclosed head
+            if skipping and tag not in INLINE:  # the end, or a part that none of these may hold: it was left open
+                around = {self.tag[i] for i in open_blocks}
+                if closes and tag in around or not closes and skipping[-1] in _SHORT and tag in _PARTS:
+                    skipping.clear()
             if skipping:
                 continue
             if tag == "a":
@@ -287,7 +322,7 @@ class Trees:
         return z
 
 
-def train(pages: list[str]) -> Trees | None:
+def train(pages: Iterable[str]) -> Trees | None:
     """Trees from the blocks of which the pages themselves say what they are; None if they say nothing."""
     xs, ys = [], []
     for text in pages:
@@ -318,8 +353,8 @@ def extract(pages: DataFrame) -> DataFrame:
     one id give one row each. Where no page of the sample says what its parts are, fixed odds by length,
     link share and names take the trees' place.
     """
-    chosen = pages.where("html is not null").select("page_id", F.xxhash64("page_id", F.lit("trees")).alias("place"), F.left("html", F.lit(TRAINING_CHARS)).alias("html"))
-    sample = [r["html"] for r in chosen.orderBy("place", "page_id", "html").limit(TRAINING_PAGES).collect()]
+    chosen = pages.where("html is not null").select("page_id", F.xxhash64("page_id", F.lit("trees")).alias("place"), "html")
+    sample = (r["html"] for r in chosen.orderBy("place", "page_id", "html").limit(TRAINING_PAGES).toLocalIterator())
     held = pages.sparkSession.sparkContext.broadcast(train(sample))
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 

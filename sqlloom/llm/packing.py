@@ -8,7 +8,8 @@ equal keys are told apart by a hash of the id, so copies of one text spread over
 
 Tokens come from a byte-level BPE vocabulary in a ``tokenizers`` JSON file. Texts are split into
 pre-tokens for many documents at once, and the ids of each distinct one are looked up or computed once;
-texts with characters beyond ``SIMPLE`` go through the tokenizers library. Both give equal ids.
+texts with characters beyond ``SIMPLE``, or with a special token of the file in them, go through the tokenizers
+library as the file sets it up. Both give equal ids.
 """
 
 from __future__ import annotations
@@ -29,8 +30,10 @@ from sqlloom.llm.staging import in_arrow, stage
 
 #: Tokens of a sequence, and the id that ends each document.
 LENGTH, END = 2048, 1
-#: Bytes of text in a range; ranges at most (beyond, they grow).
-RANGE_BYTES, RANGES = 24 << 20, 20_000
+#: Bytes of text in a range, so of a task: the ranges are in proportion to the input.
+RANGE_BYTES = 24 << 20
+#: Cells of the curve into which keys are counted to find the ranges' edges, a power of two.
+CELLS = 1 << 20
 #: Code points below it are split here, others by the tokenizers library.
 SIMPLE = 0x250
 #: Distinct pre-tokens kept by a worker.
@@ -89,14 +92,15 @@ class Encoder:
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
+            file = json.load(f)
+        vocabulary, self.special = file["model"]["vocab"], [t["content"] for t in file.get("added_tokens", [])]
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
         byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
-        ranks = {bytes(byte_of[c] for c in token): i for token, i in vocabulary.items() if all(c in byte_of for c in token) and token != "<|endoftext|>"}
-        self.piece = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        ranks = {bytes(byte_of[c] for c in token): i for token, i in vocabulary.items() if all(c in byte_of for c in token) and token not in self.special}
+        self.piece = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
-        self.kept: dict[int, bytes] = {}
+        self.type = np.uint16 if self.whole.get_vocab_size() <= 1 << 16 else np.uint32
+        self.kept: dict[str, bytes] = {}
         kinds = np.full(SIMPLE, _OTHER, np.uint8)
         for c in range(SIMPLE):
             category = unicodedata.category(chr(c))
@@ -140,16 +144,16 @@ class Encoder:
         return np.flatnonzero(start)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text, as unsigned 16-bit numbers, without special tokens."""
+        """The ids of each text, none added, as unsigned numbers of 16 bits, or 32 for larger vocabularies."""
         out: list[np.ndarray | None] = [None] * len(texts)
         simple = []
         for i, text in enumerate(texts):
             if not text:
-                out[i] = np.zeros(0, np.uint16)
-            elif text.isascii() or max(text) < chr(SIMPLE):
+                out[i] = np.zeros(0, self.type)
+            elif (text.isascii() or max(text) < chr(SIMPLE)) and not any(t in text for t in self.special):
                 simple.append(i)
             else:
-                out[i] = np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint16)
+                out[i] = np.array(self.whole.encode(text, add_special_tokens=False).ids, self.type)
         if simple:
             joined = "".join(texts[i] for i in simple)
             points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
@@ -158,17 +162,19 @@ class Encoder:
             starts = self._starts(points, first)
             bounds = np.r_[starts, len(points)]
             hashes = tk.mix(tk.span_hashes(tk.mix(points.astype(np.uint64) + np.uint64(7)), bounds[:-1], bounds[1:], 0x9E3779B97F4A7C15))
-            distinct, where, back = np.unique(hashes, return_index=True, return_inverse=True)
+            _, where, back = np.unique(hashes, return_index=True, return_inverse=True)
             if len(self.kept) > KEPT:
                 self.kept.clear()
             pieces, kept = [], self.kept
-            for key, i in zip(distinct.tolist(), where.tolist()):
-                ids = kept.get(key)
+            for i in where.tolist():
+                piece = joined[bounds[i] : bounds[i + 1]]
+                ids = kept.get(piece)
                 if ids is None:
-                    ids = kept[key] = np.array(self.piece(joined[bounds[i] : bounds[i + 1]].encode()), np.uint16).tobytes()
+                    ids = kept[piece] = np.array(self.piece(piece), self.type).tobytes()
                 pieces.append(ids)
-            sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 2
-            table, base = np.frombuffer(b"".join(pieces), np.uint16), np.cumsum(sizes) - sizes
+            width = np.dtype(self.type).itemsize
+            sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // width
+            table, base = np.frombuffer(b"".join(pieces), self.type), np.cumsum(sizes) - sizes
             each = sizes[back]
             ahead = np.cumsum(each) - each
             ids = table[np.repeat(base[back] - ahead, each) + np.arange(int(each.sum()))]
@@ -189,7 +195,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _tokens(path: str, edges: list[int]):
-    schema = pa.schema([("bucket", pa.int32()), ("key", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.binary())])
+    schema = pa.schema([("bucket", pa.int32()), ("width", pa.int32()), ("key", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, upper = _encoder(path), np.array(edges, np.int64)
@@ -197,9 +203,9 @@ def _tokens(path: str, edges: list[int]):
             for rows, data, offsets in tk.slices(batch):
                 keys = curve_keys(_ids(rows), data, offsets)
                 ids = encoder.encode([t or "" for t in rows.column("text").to_pylist()])
-                end = np.array([END], np.uint16).tobytes()
+                end = np.array([END], encoder.type).tobytes()
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.searchsorted(upper, keys, "right").astype(np.int32)), pa.array(keys), rows.column("doc_id").cast(pa.int64()), pa.array([x.tobytes() + end for x in ids], pa.binary()),
+                    pa.array(np.searchsorted(upper, keys, "right").astype(np.int32)), pa.array(np.full(len(keys), encoder.type(0).itemsize, np.int32)), pa.array(keys), rows.column("doc_id").cast(pa.int64()), pa.array([x.tobytes() + end for x in ids], pa.binary()),
                 ], schema=schema)
 
     return run
@@ -213,10 +219,10 @@ def _pack(length: int):
         bucket, at = None, 0  # tokens laid so far in this range
         for batch in batches:
             out: list[list] = [[] for _ in names]
-            for b, doc_id, raw in zip(batch.column("bucket").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("ids")):
+            for b, width, doc_id, raw in zip(batch.column("bucket").to_pylist(), batch.column("width").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("ids")):
                 if b != bucket:
                     bucket, at = b, 0
-                ids = np.frombuffer(raw.as_buffer(), np.uint16).astype("<u4")
+                ids = np.frombuffer(raw.as_buffer(), np.uint16 if width == 2 else np.uint32).astype("<u4")
                 start = 0
                 while start < len(ids):
                     size = min(length - at % length, len(ids) - start)
@@ -230,6 +236,36 @@ def _pack(length: int):
     return run
 
 
+def range_edges(keys: DataFrame) -> list[int]:
+    """The first keys of all ranges but the first, from keys and sizes: ranges hold about RANGE_BYTES each.
+
+    Bytes are counted by cells of the curve, at most CELLS, and those of cells over half a range by the keys' next bits, level by level;
+    the last bits are a hash of the id, so copies of one text are split as well.
+    """
+    total = keys.agg(F.sum("size")).first()[0] or 0
+    if total <= RANGE_BYTES:
+        return []
+    shift, step, cells = 62, CELLS.bit_length() - 1, []
+    open_cells = None
+    while shift > 0:
+        below = max(0, shift - step)
+        inside = keys if open_cells is None else keys.join(F.broadcast(open_cells), F.expr(f"shiftrightunsigned(key, {shift})") == F.col("parent"), "left_semi")
+        counted = inside.groupBy(F.expr(f"shiftrightunsigned(key, {below})").alias("cell")).agg(F.sum("size").alias("bytes"))
+        rows = counted.collect()  # at most CELLS of the curve, and as many of each large cell
+        large = [r["cell"] for r in rows if r["bytes"] > RANGE_BYTES // 2]
+        cells += [(r["cell"] << below, r["bytes"]) for r in rows if r["bytes"] <= RANGE_BYTES // 2 or not below]
+        if not large or not below:
+            break
+        open_cells, shift, step = keys.sparkSession.createDataFrame([(c,) for c in large], "parent long"), below, 6
+    edges, held = [], 0
+    for key, size in sorted(cells):
+        if held and held + size > RANGE_BYTES:
+            edges.append(key)
+            held = 0
+        held += size
+    return edges
+
+
 def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
     """One row per piece of a document (doc_id, text): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
@@ -239,10 +275,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     keys = stage(docs.transform(in_arrow, _keys, "key long, size long"), "keys")
-    n = max(1, min(RANGES, (keys.agg(F.sum("size")).first()[0] or 0) // RANGE_BYTES + 1))
-    edges: list[int] = []
-    if n > 1:
-        edges = sorted(set(keys.agg(F.percentile_approx("key", [i / n for i in range(1, n)], max(10_000, 10 * n))).first()[0]))
-    laid = docs.transform(in_arrow, _tokens(tokenizer, edges), "bucket int, key long, doc_id long, ids binary")
+    edges = range_edges(keys)
+    laid = docs.transform(in_arrow, _tokens(tokenizer, edges), "bucket int, width int, key long, doc_id long, ids binary")
     laid = laid.repartitionById(len(edges) + 1, F.col("bucket")).sortWithinPartitions("bucket", "key", "doc_id")
     return laid.transform(in_arrow, _pack(length), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
