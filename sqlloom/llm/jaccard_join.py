@@ -5,8 +5,8 @@ own band's tag and, if it is within reach of the next band, to that one's tag to
 share a tag. With ``k`` the largest difference (in elements) of two linking sets of a tag, the shingle
 domain is split by hash into ``k div 2 + 1`` first-level groups, of which one has at most one difference,
 each group into three parts, and a signature is the content of two of a group's parts: linking sets share
-one. Groups without elements agree in any two sets, so each tag has a spare group, and a set with more empty
-ones than spare ones gives signatures for these too.
+one. Parts without elements agree in any two sets, so each tag has spare groups, and only a set with more groups
+with empty parts than spare ones gives signatures for these too.
 
 Sets that share a signature are candidates; the links among them are found without making all pairs. Of a
 signature with few sets all pairs are compared. Of others one set, the pivot, is compared with the rest:
@@ -36,8 +36,8 @@ from sqlloom.llm.staging import broadcast_if, drop, in_arrow, release, stage
 
 #: Rows of ids, or of pairs to compare, that are sent to all executors (under 64 bytes each); beyond, joins are shuffled.
 BROADCAST_ROWS = 1 << 18
-#: Upper end over lower end of a size band; groups beyond the necessary ones.
-BAND, SPARE = 1.4, 1
+#: Upper end over lower end of a size band.
+BAND = 1.25
 #: Groups in which one side has at most so many sets are compared pair by pair, at first and when dealt again; sets compared with a pivot by one task.
 SMALL, SMALL_AGAIN, CHUNK = 4, 16, 256
 #: The parts of a group that make a signature.
@@ -45,13 +45,25 @@ _SUBSETS = ((0, 1), (0, 2), (1, 2))
 
 
 @lru_cache(maxsize=8)
-def _tags(percent: int, largest: int) -> tuple[np.ndarray, np.ndarray]:
-    """(lower ends of the bands, upper ends), up to a band that holds ``largest``."""
+def _tags(percent: int, largest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lower ends of the bands, largest differences, numbers of groups), up to a band that holds ``largest``."""
     low, high = [1], [1]
     while high[-1] < largest:
         low.append(high[-1] + 1)
         high.append(max(int(low[-1] * BAND), low[-1] * 100 // percent))
-    return np.array(low), np.array(high)
+    differences = [h * 2 * (100 - percent) // (100 + percent) for h in high]
+    groups = [k // 2 + 1 + _spare(k // 2 + 1, n * percent / 100) if k else 1 for n, k in zip(low, differences)]
+    return np.array(low), np.array(differences), np.array(groups)
+
+
+def _spare(needed: int, least: float) -> int:
+    """Groups to add, so that a set of ``least`` elements hardly has more groups with an empty pair of parts than these."""
+    for deviations in (1.5, 0.75, 0):
+        for spare in range(1, needed + 1):
+            empty = 3 * (needed + spare) * np.exp(-2 * least / (3 * (needed + spare)))
+            if spare >= empty + deviations * np.sqrt(empty):
+                return spare
+    return 1  # small sets: those with more empty groups give signatures for these as well
 
 
 def distinct_shingles(words: tk.Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,7 +84,7 @@ def set_names(docs: np.ndarray, shingles: np.ndarray, n: int) -> np.ndarray:
 
 def _signatures(docs: np.ndarray, shingles: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """(text index, signature) of all texts' signatures."""
-    low, high = _tags(percent, int(sizes.max(initial=1)) * 2 + 2)
+    low, most, all_groups = _tags(percent, 1 << max(8, int(sizes.max(initial=1)).bit_length() + 2))
     band = np.searchsorted(low, sizes, "right") - 1
     out_docs, out = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     hashes = tk.mix(shingles + np.uint64(0x632BE59BD9B4E019))
@@ -80,8 +92,8 @@ def _signatures(docs: np.ndarray, shingles: np.ndarray, sizes: np.ndarray, perce
     for up in (0, 1):  # own band, then sets that may link with one of the next band
         tag = band + up
         mine = (sizes > 0) & (sizes * 100 >= percent * low[tag])
-        k = high[tag] * 2 * (100 - percent) // (100 + percent)
-        groups = np.where(mine, np.where(k > 0, k // 2 + 1 + SPARE, 1), 0)
+        k, spare = most[tag], all_groups[tag] - most[tag] // 2 - 1
+        groups = np.where(mine, all_groups[tag], 0)
         base = np.cumsum(3 * groups) - 3 * groups
         total = int(3 * groups.sum())
         on = np.flatnonzero(mine[docs])
@@ -95,7 +107,7 @@ def _signatures(docs: np.ndarray, shingles: np.ndarray, sizes: np.ndarray, perce
         empty = np.zeros(len(owner), bool)
         for s in _SUBSETS:
             empty |= counts[:, s].sum(1) == 0
-        with_empty = np.bincount(owner[empty], minlength=len(sizes)) > SPARE
+        with_empty = np.bincount(owner[empty], minlength=len(sizes)) > spare
         for j, s in enumerate(_SUBSETS):
             content = np.where(equal_only, sums.sum(1, dtype=np.uint64), sums[:, s].sum(1, dtype=np.uint64))
             full = np.where(equal_only, j == 0, (counts[:, s].sum(1) > 0) | with_empty[owner])
