@@ -134,8 +134,9 @@ def _describe(size: int):
     return run
 
 
-def _sign(size: int, percent: int):
-    schema = pa.schema([("signature", pa.int64()), ("node", pa.int64())])
+def _sign(size: int, percent: int, count: bool):
+    """(signature, node), or with ``count`` (signature, number) of the signatures of some texts together."""
+    schema = pa.schema([("signature", pa.int64()), ("number" if count else "node", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,8 +144,11 @@ def _sign(size: int, percent: int):
                 words = tk.Words(data, offsets, lower=True)
                 docs, shingles = distinct_shingles(words, size)
                 owner, signature = _signatures(docs, shingles, np.bincount(docs, minlength=words.n_docs), percent)
-                names = set_names(docs, shingles, words.n_docs)
-                yield pa.RecordBatch.from_arrays([pa.array(tk.signed(signature)), pa.array(tk.signed(names[owner]))], schema=schema)
+                if count:
+                    signature, other = np.unique(signature, return_counts=True)
+                else:
+                    other = tk.signed(set_names(docs, shingles, words.n_docs)[owner])
+                yield pa.RecordBatch.from_arrays([pa.array(tk.signed(signature)), pa.array(other, pa.int64())], schema=schema)
 
     return run
 
@@ -256,9 +260,11 @@ def _dealt_again(apart: DataFrame, percent: int) -> DataFrame:
 
 def _link_components(docs: DataFrame, signed_docs: DataFrame, nodes: DataFrame, known: DataFrame, size: int, percent: int) -> DataFrame:
     """(node, component) of the nodes that link; ``known``: a staged table of links (a, b) to start from."""
-    signed = signed_docs.transform(in_arrow, _sign(size, percent), "signature long, node long")
     # The signatures of all documents are far more than the shared ones: they are made once to count them, once to find their nodes.
-    common = stage(signed.groupBy("signature").agg(F.count("*").alias("n")).where("n > 1").select("signature"), "common")
+    # Each task counts those of some texts together before the shuffle; a hash table of all of them would only fill its memory.
+    counted = signed_docs.transform(in_arrow, _sign(size, percent, True), "signature long, number long").repartition("signature")
+    common = stage(counted.groupBy("signature").agg(F.sum("number").alias("n")).where("n > 1").select("signature"), "common")
+    signed = signed_docs.transform(in_arrow, _sign(size, percent, False), "signature long, node long")
     release(docs.sparkSession)
     rows = stage(signed.join(common, "signature").distinct().select("signature", "node", F.col("node").alias("component"), F.lit(True).alias("small"), F.lit(True).alias("large")), "rows")
     drop(common)
