@@ -117,9 +117,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT)
     listed = stage(windows_of(docs, items, percent), "windows")
     size = listed.agg(F.sum(F.expr("32 + 4 * size(starts)"))).first()[0] or 0
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(listed) if size <= BROADCAST_BYTES else listed, "doc_id")
-    cut_out = texts.select("doc_id", "n", "short", _words(F.col("text")).alias("words"), F.explode("starts").alias("start"))
-    cut_out = cut_out.where("if(start < 0, size(words) < n and size(words) >= short, start + n <= size(words))")
-    windows = cut_out.select("doc_id", "n", "short", F.greatest("start", F.lit(0)).alias("start"), F.expr("if(start < 0, words, slice(words, start + 1, n))").alias("words"))
+    # Cut out in one projection and written, so that no filter that Catalyst moves or infers splits the texts again.
+    of_start = "if(s < 0, if(size(words) < n and size(words) >= short, words, null), if(s + n <= size(words), slice(words, s + 1, n), null))"
+    cut_out = texts.select("doc_id", "n", "short", "starts", _words(F.col("text")).alias("words"))
+    cut_out = stage(cut_out.select("doc_id", "n", "short", F.expr(f"filter(transform(starts, s -> named_struct('start', greatest(s, 0), 'words', {of_start})), w -> w.words is not null)").alias("cut")), "cut")
+    windows = cut_out.select("doc_id", "n", "short", F.explode("cut").alias("w")).select("doc_id", "n", "short", "w.start", "w.words")
     in_blocks = windows.withColumn("print", _fingerprint("words")).withColumn("content", F.xxhash64("words")).select("*", F.explode(_blocks("print")).alias("block"))
     prints = items.withColumn("item_print", _fingerprint("words")).select("item_id", "version", "n", "item_print", F.explode(_blocks("item_print")).alias("block"))
     near = in_blocks.join(broadcast_if(prints, BROADCAST_ROWS), ["n", "block"]).where(f"bit_count(print ^ item_print) <= {RADIUS}")
