@@ -38,8 +38,9 @@ from sqlloom.llm.staging import broadcast_if, drop, in_arrow, release, stage
 BROADCAST_ROWS = 1 << 18
 #: Upper end over lower end of a size band.
 BAND = 1.25
-#: Groups in which one side has at most so many sets are compared pair by pair, at first and when dealt again; sets compared with a pivot by one task.
-SMALL, SMALL_AGAIN, CHUNK = 4, 16, 256
+#: Groups in which one side has at most so many sets are compared pair by pair: at first, and at most when dealt again (four times as
+#: many each round); sets compared with a pivot by one task.
+SMALL, SMALL_MOST, CHUNK = 4, 256, 256
 #: The parts of a group that make a signature.
 _SUBSETS = ((0, 1), (0, 2), (1, 2))
 
@@ -153,28 +154,38 @@ def _sign(size: int, percent: int, count: bool):
     return run
 
 
-def differences(sizes: np.ndarray, docs: np.ndarray, shingles: np.ndarray, pivot: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each set's number of elements in common with the pivot's, and (set, element) of the wanted sets' differences.
+def differences(sizes: np.ndarray, docs: np.ndarray, shingles: np.ndarray, pivot: np.ndarray, wanted: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
+    """Each set's number of elements in common with the pivot's, whether it is far, its number of own elements, and (set, element).
 
-    ``docs`` and ``shingles``: the sets' elements; ``pivot``: its elements, sorted.
+    ``docs`` and ``shingles``: the sets' elements, sorted; ``pivot``: its elements, sorted. A set is far if its own elements, which
+    the pivot lacks, are enough for a prefix of it (see ``_dealt_again``): then only those are given. Else, first its own, then those that
+    it lacks. Only wanted sets have any.
     """
     m = len(sizes)
     at = np.minimum(np.searchsorted(pivot, shingles), len(pivot) - 1)
     hit = pivot[at] == shingles
     common = np.bincount(docs[hit], minlength=m)
-    own = ~hit & wanted[docs]
-    missing = np.repeat(wanted[:, None], len(pivot), 1)
-    missing[docs[hit], at[hit]] = False
+    own_docs, own = docs[~hit], shingles[~hit]
+    n_own = np.bincount(own_docs, minlength=m)
+    reach = sizes + 1 - (percent * sizes + 99) // 100
+    far = n_own >= reach
+    rank = np.arange(len(own)) - np.repeat(np.cumsum(n_own) - n_own, n_own)
+    n_own = np.where(wanted, np.minimum(n_own, reach), 0)
+    keep = rank < n_own[own_docs]
+    near = np.flatnonzero(wanted & ~far)
+    missing = np.zeros((m, 0), bool) if not len(near) else np.repeat((wanted & ~far)[:, None], len(pivot), 1)
+    if len(near):
+        missing[docs[hit], at[hit]] = False
     which, where = np.nonzero(missing)
-    owner, element = np.r_[docs[own], which], np.r_[shingles[own], pivot[where]]
+    owner, element = np.r_[own_docs[keep], which], np.r_[own[keep], pivot[where]]
     order = np.argsort(owner, kind="stable")
-    return common, owner[order], element[order]
+    return common, far, n_own, owner[order], element[order]
 
 
 def _compare(size: int, percent: int):
     """Rows come sorted: a pivot, then the sets that are compared with it."""
-    names = ["a", "b", "size_a", "size_b", "linked", "apart"]
-    schema = pa.schema([(n, pa.int64()) for n in names[:4]] + [("linked", pa.bool_()), ("apart", pa.list_(pa.int64()))])
+    names = ["a", "b", "size_a", "size_b", "n_own"]
+    schema = pa.schema([(n, pa.int64()) for n in names] + [("far", pa.bool_()), ("linked", pa.bool_()), ("apart", pa.list_(pa.int64()))])
     room = 1 << 22  # cells of a table of sets by the pivot's elements
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,22 +208,22 @@ def _compare(size: int, percent: int):
                         stop += 1
                     mine = docs[at[low] : at[stop]] - low
                     sizes = np.diff(at[low : stop + 1])
-                    common, owner, element = differences(sizes, mine, shingles[at[low] : at[stop]], held, deal[low:stop])
+                    common, far, n_own, owner, element = differences(sizes, mine, shingles[at[low] : at[stop]], held, deal[low:stop], percent)
                     linked = (common > 0) & (100 * common >= percent * (sizes + len(held) - common))
                     key = [*zip(a[low:stop].tolist(), salt[low:stop].tolist(), b[low:stop].tolist())]
                     new = np.array([x != y for x, y in zip(key, [before, *key])], bool)  # a row that repeats a document comes once more
                     before = key[-1]
                     ends = pa.array(np.r_[0, np.cumsum(np.bincount(owner, minlength=stop - low))].astype(np.int32))
-                    out = [a[low:stop], b[low:stop], np.full(stop - low, len(held)), sizes.astype(np.int64)]
+                    out = [a[low:stop], b[low:stop], np.full(stop - low, len(held)), sizes.astype(np.int64), n_own.astype(np.int64)]
                     lists = pa.ListArray.from_arrays(ends, pa.array(tk.signed(element)))
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, out), pa.array(linked), lists], schema=schema).filter(pa.array(new))
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, out), pa.array(far), pa.array(linked), lists], schema=schema).filter(pa.array(new))
                     low = stop
 
     return run
 
 
 def compare(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(a, b, size_a, size_b, linked, apart) of staged pairs (a, b, deal): ``apart`` is the difference where ``deal`` holds.
+    """(a, b, size_a, size_b, n_own, far, linked, apart) of staged pairs (a, b, deal); where ``deal`` holds, see ``differences``.
 
     A pivot's pairs are dealt to as many tasks as CHUNK asks for; its text goes to each, the others' texts to one each.
     """
@@ -222,7 +233,7 @@ def compare(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, perc
     wanted = broadcast_if(salted.union(pivots).join(nodes.select("node", "doc_id", "text_hash"), "node"), BROADCAST_ROWS)
     texts = docs.join(wanted, ["doc_id", "text_hash"]).select("a", "salt", "compared", "node", "deal", "text")
     dealt = texts.repartition("a", "salt").sortWithinPartitions("a", "salt", "compared", "node")
-    return dealt.transform(in_arrow, _compare(size, percent), "a long, b long, size_a long, size_b long, linked boolean, apart array<long>")
+    return dealt.transform(in_arrow, _compare(size, percent), "a long, b long, size_a long, size_b long, n_own long, far boolean, linked boolean, apart array<long>")
 
 
 def _lengths(percent: int) -> tuple[str, str, str]:
@@ -246,16 +257,27 @@ def _lengths(percent: int) -> tuple[str, str, str]:
 
 
 def _dealt_again(apart: DataFrame, percent: int) -> DataFrame:
-    """(signature, node, component, small, large) by the prefixes of the differences from a pivot (rows of ``compare`` with components)."""
-    elements = apart.select("a", "b", F.explode("apart").alias("e"))
+    """(signature, node, component, small, large) by prefixes, of rows of ``compare`` with components.
+
+    Sets near the pivot are dealt out by the prefixes of their differences D. A set x that links with another shares an element
+    with it among the first |x| + 1 - percent |x| / 100 of each, in any common order; let the elements that the pivot lacks come first.
+    A far set's prefix has only such elements, so it meets another set, far or near, in one of those.
+    """
+    near = apart.where("not far")
+    elements = near.select("a", "b", F.explode("apart").alias("e"))
     shared = elements.groupBy("a", "e").agg(F.count("*").alias("n")).where("n > 1")
     # Elements that no other set has come first in a prefix and meet nothing, so they are only counted.
     ranked = elements.join(shared, ["a", "e"]).groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("n", "e"))).alias("held"))
     linked, short, long = (F.expr(x) for x in _lengths(percent))
-    lengths = apart.withColumn("d", F.size("apart")).select("a", "b", "linked", F.col("of_b").alias("component"), "d", F.when(F.col("linked"), linked).otherwise(short).alias("one"), F.when(F.col("linked"), 0).otherwise(long).alias("other"))
+    lengths = near.withColumn("d", F.size("apart")).select("a", "b", "linked", F.col("of_b").alias("component"), "d", F.when(F.col("linked"), linked).otherwise(short).alias("one"), F.when(F.col("linked"), 0).otherwise(long).alias("other"))
     placed = lengths.join(ranked, ["a", "b"]).select("a", "b", "component", "one", "other", F.expr("d - size(held)").alias("alone"), F.posexplode("held").alias("place", "x"))
     placed = placed.withColumn("rank", F.expr("alone + place + 1")).where("rank <= greatest(one, other)")
-    return placed.select(F.xxhash64("a", F.col("x.e")).alias("signature"), F.col("b").alias("node"), "component", F.expr("rank <= one").alias("small"), F.expr("rank <= other").alias("large"))
+    by_difference = placed.select(F.xxhash64("a", F.col("x.e")).alias("signature"), F.col("b").alias("node"), "component", F.expr("rank <= one").alias("small"), F.expr("rank <= other").alias("large"))
+    with_far = apart.where("far").select("a").distinct()
+    own = apart.join(with_far, "a", "left_semi").select("a", "b", "of_b", "far", F.explode(F.expr("slice(apart, 1, cast(n_own as int))")).alias("e"))
+    own = own.select(F.xxhash64("a", "e", F.lit("far")).alias("signature"), F.col("b").alias("node"), F.col("of_b").alias("component"), F.lit(True).alias("small"), F.col("far").alias("large"))
+    met = own.groupBy("signature").agg(F.count("*").alias("n")).where("n > 1").select("signature")
+    return by_difference.union(own.join(met, "signature", "left_semi").select(*by_difference.columns))
 
 
 def _link_components(docs: DataFrame, signed_docs: DataFrame, nodes: DataFrame, known: DataFrame, size: int, percent: int) -> DataFrame:
@@ -295,7 +317,7 @@ def _link_components(docs: DataFrame, signed_docs: DataFrame, nodes: DataFrame,
         mixed = apart.groupBy("a").agg(F.min("of_b").alias("least"), F.max("of_b").alias("most")).where("least < most").select("a")
         rows = stage(_dealt_again(apart.join(mixed, "a", "left_semi"), percent), "rows")
         drop(compared)
-        small = SMALL_AGAIN
+        small = min(4 * small, SMALL_MOST)
 
 
 def _with_components(pairs: DataFrame, found: DataFrame) -> DataFrame:
