@@ -40,7 +40,8 @@ def is_email(text: Column) -> Column:
 
 
 def is_url(text: Column) -> Column:
-    return text.rlike(r"^https?://")
+    """Whether an address stands anywhere in the text."""
+    return text.rlike("https?://")
 
 
 def base_type(text: Column) -> Column:
@@ -60,11 +61,11 @@ def last_fence(text: Column, language: str = "sql") -> Column:
 
 
 def parse_reasoned_answer(text: Column) -> Column:
-    """Struct of reasoning and answer from the first pair of tags; null where there is none. An inner fence goes."""
+    """Struct of reasoning and answer from the first pair of tags; null where there is none. Of an answer with a sql fence, also among prose, the fence's inside counts."""
     pattern = r"(?s)<reasoning>(.*?)</reasoning>\s*<answer>(.*?)</answer>"
     answer = strip(F.regexp_extract(text, pattern, 2))
-    inner = r"(?is)^```(?:sql)?\s*(.*?)\s*```$"
-    answer = F.when(answer.rlike(inner), F.regexp_extract(answer, inner, 1)).otherwise(answer)
+    fenced, bare = r"(?s)```sql(.*?)(?:```|$)", r"(?is)^```(?:sql)?\s*(.*?)\s*```$"
+    answer = F.when(answer.rlike(fenced), strip(F.regexp_extract(answer, fenced, 1))).when(answer.rlike(bare), F.regexp_extract(answer, bare, 1)).otherwise(answer)
     return F.when(text.rlike(pattern), F.struct(strip(F.regexp_extract(text, pattern, 1)).alias("reasoning"), answer.alias("answer")))
 
 
@@ -104,12 +105,19 @@ def extract_json(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield texts.map(lenient_json, na_action="ignore").astype(object)
 
 
-def shown_examples(examples: Column) -> Column:
-    """Up to three example values as shown in a schema: none where any is an address; one where they are long."""
+#: Types of which one example is shown.
+DATE_TYPES = ("DATE", "TIME", "DATETIME", "TIMESTAMP")
+
+
+def shown_examples(examples: Column, declared: Column | None = None) -> Column:
+    """Up to three example values as shown in a schema: none where any is an address; of these three, one where they are long or of a date type, none where very long."""
     usable = F.filter(examples, lambda x: x.isNotNull() & (x != ""))
-    longest = F.coalesce(F.array_max(F.transform(usable, F.char_length)), F.lit(0))
-    kept = F.when(longest > 50, F.array().cast("array<string>")).when(longest > 20, F.slice(usable, 1, 1)).otherwise(F.slice(usable, 1, 3))
-    return F.when(F.exists(usable, lambda x: is_email(x) | is_url(x)), F.array().cast("array<string>")).otherwise(kept)
+    first = F.slice(usable, 1, 3)
+    longest = F.coalesce(F.array_max(F.transform(first, F.char_length)), F.lit(0))
+    is_date = F.lit(False) if declared is None else F.coalesce(base_type(declared).isin(*DATE_TYPES), F.lit(False))
+    none = F.array().cast("array<string>")
+    kept = F.when(is_date, F.slice(usable, 1, 1)).when(longest > 50, none).when(longest > 20, F.slice(usable, 1, 1)).otherwise(first)
+    return F.when(F.exists(usable, lambda x: is_email(x) | is_url(x)), none).otherwise(kept)
 
 
 _INSERT = re.compile(r"\s*insert\s+(?:or\s+\w+\s+)?into\s+(\"[^\"]+\"|`[^`]+`|\[[^\]]+\]|\w+)\s*(\(([^)]*)\))?\s*values\s*(\(.*)", re.I | re.S)

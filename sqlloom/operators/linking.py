@@ -90,7 +90,7 @@ def prune(fields: DataFrame, foreign_keys: DataFrame, tables: DataFrame, columns
 
 def field_line(hints: bool = False):
     """``(name:TYPE, comment, Primary Key, Examples: [..])`` of a field."""
-    examples = shown_examples(F.coalesce("examples", F.array().cast("array<string>")))
+    examples = shown_examples(F.coalesce("examples", F.array().cast("array<string>")), F.col("type"))
     dated = F.when(base_type(F.col("type")).isin("DATE", "DATETIME", "TIME", "TIMESTAMP"), F.slice(examples, 1, 1)).otherwise(examples)
     parts = [
         F.concat("field", F.lit(":"), base_type(F.col("type"))),

@@ -135,7 +135,10 @@ def canonical(df: DataFrame) -> DataFrame:
         elif isinstance(kind, T.NumericType):
             d = c.cast("double")
             whole = (d == F.floor(d)) & (F.abs(d) < F.lit(float(1 << 53)))
-            c = F.concat(F.lit("n:"), F.when(whole, d.cast("long").cast("string")).otherwise(d.cast("string")))
+            shown = F.when(whole, d.cast("long").cast("string")).otherwise(d.cast("string"))
+            if isinstance(kind, T.DecimalType):  # exact where a double would not be
+                shown = F.when(d.cast("string").try_cast(kind) == c, shown).otherwise(c.cast("string"))
+            c = F.concat(F.lit("n:"), shown)
         elif isinstance(kind, T.BinaryType):
             c = F.concat(F.lit("b:"), F.hex(c))
         elif isinstance(kind, (T.ArrayType, T.StructType, T.MapType)):
@@ -175,8 +178,11 @@ def compare(spark: SparkSession, predicted: str, gold: str, seconds: float = COM
     thread.start()
     thread.join(seconds)
     if thread.is_alive():
-        spark.sparkContext.cancelJobsWithTag(tag)
-        thread.join(2)
+        for _ in range(20):  # a job that starts just after a cancellation is cancelled by the next one
+            spark.sparkContext.cancelJobsWithTag(tag)
+            thread.join(0.5)
+            if not thread.is_alive():
+                break
         return False
     return bool(verdict and verdict[0])
 

@@ -364,7 +364,7 @@ def truncate_300(t, spark):
     return t("documents").select("doc_id", X.truncate(F.col("text"), 300).alias("shown"))
 
 
-@query("""SELECT doc_id, regexp_matches(v, '^[\\w\\.-]+@[\\w\\.-]+\\.\\w+$') AS email, regexp_matches(v, '^https?://') AS url FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'a.b-' || doc_id || '@ex.org' WHEN doc_id % 3 = 1 THEN 'http://x.org/' || doc_id ELSE lang END AS v FROM documents) s""")
+@query("""SELECT doc_id, regexp_matches(v, '^[\\w\\.-]+@[\\w\\.-]+\\.\\w+$') AS email, regexp_matches(v, 'https?://') AS url FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'a.b-' || doc_id || '@ex.org' WHEN doc_id % 3 = 1 THEN 'http://x.org/' || doc_id ELSE lang END AS v FROM documents) s""")
 def is_email_url(t, spark):
     v = F.expr("case when doc_id % 3 = 0 then concat('a.b-', doc_id, '@ex.org') when doc_id % 3 = 1 then concat('http://x.org/', doc_id) else lang end")
     return t("documents").select("doc_id", X.is_email(v).alias("email"), X.is_url(v).alias("url"))
@@ -386,7 +386,7 @@ def list_parse(t, spark):
 
 
 @query("""SELECT p_brand, array_to_string(CASE WHEN m > 50 THEN []::VARCHAR[] WHEN m > 20 THEN ex[1:1] ELSE ex[1:3] END, '|') AS examples FROM (
-SELECT p_brand, list(p_name ORDER BY p_name) AS ex, max(length(p_name)) AS m FROM (SELECT DISTINCT p_brand, p_name FROM part) d GROUP BY p_brand) s""")
+SELECT p_brand, ex, list_max(list_transform(ex[1:3], x -> length(x))) AS m FROM (SELECT p_brand, list(p_name ORDER BY p_name) AS ex FROM (SELECT DISTINCT p_brand, p_name FROM part) d GROUP BY p_brand) e) s""")
 def examples_profile(t, spark):
     ex = t("part").select("p_brand", "p_name").distinct().groupBy("p_brand").agg(F.sort_array(F.collect_list("p_name")).alias("ex"))
     return ex.select("p_brand", F.array_join(X.shown_examples(F.col("ex")), "|").alias("examples"))

@@ -52,6 +52,25 @@ def test_fence_and_examples(spark):
     assert [r["x"] for r in rows] == [["a", "b", "c"], ["y" * 25], [], []]
 
 
+def test_examples_of_the_first_three(spark):
+    df = spark.createDataFrame([(["a", "b", "c", "v" * 60], "TEXT"), (["x", "see http://y.z"], "TEXT"), (["2020-01-01 00:00:00.000", "z"], "datetime(3)"), ([], "DATE")], "x array<string>, d string")
+    assert [r[0] for r in df.select(X.shown_examples(F.col("x"), F.col("d"))).collect()] == [["a", "b", "c"], [], ["2020-01-01 00:00:00.000"], []]
+
+
+def test_fence_among_prose(spark):
+    text = "<reasoning>r</reasoning><answer>Here it is:\n```sql\nSELECT 2\n```\nas asked.</answer>"
+    assert spark.createDataFrame([(text,)], "c string").select(X.parse_reasoned_answer(F.col("c")).alias("c")).first()["c"]["answer"] == "SELECT 2"
+
+
+def test_decimals_are_compared_exactly(spark):
+    from sqlloom.operators.sqlservice import same_results
+
+    one = lambda text: spark.sql(f"select {text} as v")
+    big = "cast('12345678901234567.{}' as decimal(30,1))"
+    assert not same_results(one(big.format(1)), one(big.format(2))) and same_results(one(big.format(1)), one(big.format(1)))
+    assert same_results(one("cast(5 as decimal(10,2))"), one("5")) and same_results(one("cast('0.1' as decimal(10,3))"), one("0.1D"))
+
+
 def test_dialect():
     assert sqlite_dialect.rewrite("SELECT a LIKE 'LIKE' FROM t WHERE b == 1") == "SELECT a ILIKE 'LIKE' FROM t WHERE b = 1"
     assert sqlite_dialect.rewrite("SELECT strftime('%Y-%m', d) FROM t") == "SELECT date_format(to_timestamp(d), 'yyyy-MM') FROM t"
