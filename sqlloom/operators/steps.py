@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -150,11 +151,12 @@ def inject(spark: SparkSession, sample: Mapping, generator: Generator, template:
     return {"inject_success": False, "inject_count": 0, "inject_attempts": attempts, "inject_inserts": [], "inject_error": "; ".join(history[-1]["error"])[:500], "inject_history": history}, {}
 
 
-def sample_rejections(samples: DataFrame, generator: Generator, template: str, schemas: DataFrame, sampling: Sampling = Sampling(), key: str = "row_idx", seconds: float = sqlservice.COMPARE_SECONDS) -> DataFrame:
+def sample_rejections(samples: DataFrame, generator: Generator, template: str, schemas: DataFrame, sampling: Sampling = Sampling(), key: str = "row_idx", seconds: float = sqlservice.COMPARE_SECONDS, use_db=None) -> DataFrame:
     """Reasoned answers whose SQL returns what the record's does: accepted records, with the round; rejected ones, with a reason.
 
     A record without a schema is rejected at once. Others are asked in every round until accepted; only the
-    last round's failure is a reason: api_error, parse_failed or sql_failed.
+    last round's failure is a reason: api_error, parse_failed or sql_failed. SQL is compared a database at a time, see
+    ``verify``, in batches of ``sampling.batch_size``.
     """
     spark = samples.sparkSession
     known = schemas.select(F.col("db_name").alias("db_id"), F.lit(True).alias("_known")).distinct()
@@ -167,8 +169,15 @@ def sample_rejections(samples: DataFrame, generator: Generator, template: str, s
         asked = _prompts(left, template, schemas, EVIDENCE=F.coalesce("evidence", F.lit("")), QUESTION=X.prompt_with_hint(F.col("question"), F.col("evidence")))
         parsed = generate(asked, generator).withColumn("_p", X.parse_reasoned_answer(F.col("response")))
         parsed = parsed.checkpoint() if spark.sparkContext.getCheckpointDir() else parsed.persist()
-        pairs = [(x[key], x["sql"], x["gold_sql"]) for x in parsed.where("_p is not null").select(key, F.col("_p.answer").alias("sql"), "gold_sql").toLocalIterator()]
-        equal = sqlservice.compare_batch(spark, pairs, seconds).select(F.col("row_idx").alias(key), "equal")
+        answers = parsed.where("_p is not null").select(key, F.col("_p.answer").alias("sql"), "gold_sql", "db_id")
+        equal = spark.createDataFrame([], "row_idx long, equal boolean")
+        for row in answers.select("db_id").distinct().collect():  # one row a database
+            if use_db:
+                use_db(spark, row["db_id"])
+            pairs = ((x[key], x["sql"], x["gold_sql"]) for x in answers.where(F.col("db_id") == row["db_id"]).toLocalIterator())
+            while batch := list(islice(pairs, sampling.batch_size)):
+                equal = equal.union(sqlservice.compare_batch(spark, batch, seconds))
+        equal = equal.select(F.col("row_idx").alias(key), "equal")
         judged = parsed.join(equal, key, "left")
         reason = F.when(F.col("response").isNull(), "api_error").when(F.col("_p").isNull(), "parse_failed").otherwise("sql_failed")
         good = judged.where("equal")

@@ -386,7 +386,7 @@ def list_parse(t, spark):
 
 
 @query("""SELECT p_brand, array_to_string(CASE WHEN m > 50 THEN []::VARCHAR[] WHEN m > 20 THEN ex[1:1] ELSE ex[1:3] END, '|') AS examples FROM (
-SELECT p_brand, ex, list_max(list_transform(ex[1:3], x -> length(x))) AS m FROM (SELECT p_brand, list(p_name ORDER BY p_name) AS ex FROM (SELECT DISTINCT p_brand, p_name FROM part) d GROUP BY p_brand) e) s""")
+SELECT p_brand, ex, greatest(length(ex[1]), length(ex[2]), length(ex[3])) AS m FROM (SELECT p_brand, list(p_name ORDER BY p_name) AS ex FROM (SELECT DISTINCT p_brand, p_name FROM part) d GROUP BY p_brand) e) s""")
 def examples_profile(t, spark):
     ex = t("part").select("p_brand", "p_name").distinct().groupBy("p_brand").agg(F.sort_array(F.collect_list("p_name")).alias("ex"))
     return ex.select("p_brand", F.array_join(X.shown_examples(F.col("ex")), "|").alias("examples"))

@@ -21,6 +21,7 @@ from sqlloom.operators.generate import Generator, HttpGenerator
 from sqlloom.sources import records
 
 STATUSES = ("pending", "running", "completed", "failed")
+from sqlloom.sources.sqlite import Databases
 
 
 def _listed(text: str) -> list[str]:
@@ -168,7 +169,7 @@ class Runner:
         self.spark, self.config = spark, config
         self.generator = generator or HttpGenerator(config.api_url_list, config.model_name, threads=config.max_workers)
         self.sampler = sampler or (HttpGenerator(config.rs_api_url_list, config.rs_model_name, threads=config.max_workers) if generator is None else generator)
-        self.templates, self.use_db = templates, use_db
+        self.templates, self.use_db = templates, use_db or Databases(config.database)
         self.order = step_names(config)
         self.checkpoint = Checkpoint.load(os.path.join(config.run_dir, "checkpoint.json"))
 
@@ -219,7 +220,7 @@ class Runner:
         schemas = self.schemas()
         if schemas is None:
             raise ValueError("rejection_sampling needs mschema_jsonl")
-        out = steps.sample_rejections(self.table("dedup"), self.sampler, self.template("sample"), schemas, steps.Sampling(c.max_samples, c.batch_size))
+        out = steps.sample_rejections(self.table("dedup"), self.sampler, self.template("sample"), schemas, steps.Sampling(c.max_samples, c.batch_size), use_db=self.use_db)
         return out.where("not _rejected").drop("_rejected", "_reject_reason")
 
     def run(self) -> list[str]:

@@ -5,8 +5,9 @@ Scans are cut into ranges of the row id. Values come as SQLite holds them: dates
 
 from __future__ import annotations
 
+import os
 import sqlite3
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -107,3 +108,16 @@ def register_database(spark: SparkSession, path: str) -> list[str]:
     for name in names:
         read_table(spark, path, name).createOrReplaceTempView(f"`{name}`")
     return names
+
+
+class Databases:
+    """Makes one database's tables the current ones at a time: ``databases(spark, db_id)`` takes the views of the one before away."""
+
+    def __init__(self, path_of: Callable[[str], str]):
+        self.path_of, self.names = path_of, []
+
+    def __call__(self, spark: SparkSession, db_id: str) -> None:
+        for name in self.names:
+            spark.catalog.dropTempView(name)
+        path = self.path_of(db_id)
+        self.names = register_database(spark, path) if os.path.exists(path) else []

@@ -166,6 +166,20 @@ def test_runner_resumes(spark, tmp_path):
     assert Config(steps="nope").validate()
 
 
+def test_each_database_has_its_own_tables(spark, tmp_path):
+    for name, value in (("one", 1), ("two", 2)):
+        (tmp_path / name).mkdir()
+        with sqlite3.connect(str(tmp_path / name / f"{name}.sqlite")) as c:
+            c.execute("create table bound (v integer)")
+            c.execute("insert into bound values (?)", (value,))
+            c.execute(f"create table only_{name} (v integer)")
+    runner = Runner(spark, Config(mode="spider", db_root_path=str(tmp_path), input_file="x", output_dir=str(tmp_path), run_name="r"), _rules(), templates={})
+    records_ = spark.createDataFrame([(0, "one", "select v from bound"), (1, "two", "select v from bound"), (2, "two", "select v from only_one"), (3, "none", "select v from bound")], "row_idx long, db_id string, gold_sql string")
+    got = {r["row_idx"]: (r["status"], r["ex_result"]) for r in steps.verify(records_, use_db=runner.use_db).collect()}
+    assert [got[i][0] for i in range(4)] == ["ok", "ok", "failed", "failed"] and "1" in got[0][1] and "2" in got[1][1]
+    runner.use_db(spark, "none")
+
+
 def test_sqlite_source(spark, tmp_path):
     path = str(tmp_path / "x.sqlite")
     with sqlite3.connect(path) as c:
