@@ -40,7 +40,7 @@ BROADCAST_ROWS = 1 << 18
 BAND = 1.25
 #: Groups in which one side has at most so many sets are compared pair by pair: at first, and at most when dealt again (four times as
 #: many each round); sets compared with a pivot by one task.
-SMALL, SMALL_MOST, CHUNK = 4, 16, 256
+SMALL, SMALL_MOST, CHUNK = 4, 64, 256
 #: The parts of a group that make a signature.
 _SUBSETS = ((0, 1), (0, 2), (1, 2))
 
