@@ -567,6 +567,8 @@ def test_lm_scores(spark, monkeypatch):
     got = collected(lm_score.lm_scores(frame(spark, rows)))
     monkeypatch.setattr(lm_score, "VOCABULARY", 30)
     again = collected(lm_score.lm_scores(frame(spark, rows)))
+    monkeypatch.setattr(lm_score, "HELD_WORDS", 20)  # all other words are joined
+    joined = collected(lm_score.lm_scores(frame(spark, rows)))
     counts = Counter()
     for i, t in rows:
         if zlib.crc32(str(i).encode()) % 7 != 2:
@@ -576,7 +578,7 @@ def test_lm_scores(spark, monkeypatch):
     for i, t in rows:
         w = [*(x.translate(LOWER) for x in words(t)), None]
         base = sum(math.log10((counts[x] + 1) / (total + distinct + 1)) for x in w)
-        for r in (got[i], again[i]):
+        for r in (got[i], again[i], joined[i]):
             assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(w), sum(counts[x] > 0 for x in w), total, zlib.crc32(str(i).encode()) % 7 == 2)
             assert abs(r["base_score"] - base) < 1e-6 * max(1, abs(base)) and r["score"] < 0
     bits = [-got[i]["score"] / math.log10(2) / len(t.encode()) for i, t in rows if t]
