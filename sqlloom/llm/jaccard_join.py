@@ -16,8 +16,9 @@ they link, D(x) and D(y) overlap by at least half of |D(x)| + |D(y)| less the di
 common order of elements their prefixes of suitable lengths meet (see ``_lengths``). The order is rarest
 first, among the sets compared with that pivot: what single copies changed comes first and meets nothing.
 Sets that did not link with the pivot are dealt out again by their prefixes, together with the linked ones,
-and these smaller groups are searched in the same way, until none holds two components. The similarity is
-always the exact one of the two texts. Equal sets are one node, named by the hash of the set.
+and these smaller groups are searched in the same way, until none holds two components, or until so few sets are left
+in them that comparing all of a group, block with block, sends few texts (see ``_blockwise``): that ends the search. The
+similarity is always the exact one of the two texts. Equal sets are one node, named by the hash of the set.
 """
 
 from __future__ import annotations
@@ -38,9 +39,10 @@ from sqlloom.llm.staging import broadcast_if, drop, in_arrow, release, stage
 BROADCAST_ROWS = 1 << 18
 #: Upper end over lower end of a size band.
 BAND = 1.25
-#: Groups in which one side has at most so many sets are compared pair by pair: at first, and at most when dealt again (four times as
-#: many each round); sets compared with a pivot by one task.
-SMALL, SMALL_MOST, CHUNK = 4, 64, 256
+#: Groups in which one side has at most so many sets are compared pair by pair; sets compared with a pivot by one task.
+SMALL, CHUNK = 4, 256
+#: Sets of a group that are compared with as many others at once, and texts a node that may be sent for that at first (four times as many each round).
+BLOCK, TEXTS = 128, 1
 #: The parts of a group that make a signature.
 _SUBSETS = ((0, 1), (0, 2), (1, 2))
 
@@ -236,6 +238,77 @@ def compare(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, perc
     return dealt.transform(in_arrow, _compare(size, percent), "a long, b long, size_a long, size_b long, n_own long, far boolean, linked boolean, apart array<long>")
 
 
+def block_links(docs: np.ndarray, shingles: np.ndarray, sizes: np.ndarray, sides: np.ndarray, components: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(x, y) of links, by index, that join the components of some sets: as those of all pairs do, but at most one less than there are sets.
+
+    Pairs are those of a set of side 0 and one of side 1; where all are of side 0, all pairs.
+    """
+    labels = np.unique(components, return_inverse=True)[1]
+    x, y = [], []
+    if labels.max(initial=0) == 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    names, element = np.unique(shingles, return_inverse=True)
+    ends, mark = np.r_[0, np.cumsum(sizes)], np.zeros(len(names), bool)
+    low = int((sides == 0).sum()) % len(sides)  # the sets that each of side 0 is compared with begin here
+    others, starts = element[ends[low] :], ends[low:-1] - ends[low]
+    for i in range(low or len(sides)):
+        own = element[ends[i] : ends[i + 1]]
+        mark[own] = True
+        common = np.add.reduceat(mark[others], starts, dtype=np.int64)
+        mark[own] = False
+        linked = low + np.flatnonzero((common > 0) & (100 * common >= percent * (sizes[i] + sizes[low:] - common)))
+        for label in np.unique(labels[linked]):
+            if label != labels[i]:
+                x.append(i)
+                y.append(linked[labels[linked] == label][0])
+                labels[labels == label] = labels[i]
+    return np.array(x, np.int64), np.array(y, np.int64)
+
+
+def _compare_blocks(size: int, percent: int):
+    """Rows come sorted by signature, one and other block, side and node: all of two blocks are held at once."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def links(sets: list[tuple[int, int, int, np.ndarray]]) -> pa.RecordBatch:
+        nodes, sides, components = (np.array([s[i] for s in sets], np.int64) for i in range(3))
+        sizes = np.array([len(s[3]) for s in sets])
+        x, y = block_links(np.repeat(np.arange(len(sets)), sizes), np.concatenate([s[3] for s in sets]), sizes, sides, components, percent)
+        return pa.RecordBatch.from_arrays([pa.array(nodes[x]), pa.array(nodes[y])], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, sets = None, []
+        for batch in batches:
+            for rows, data, offsets in tk.slices(batch):
+                docs, shingles = distinct_shingles(tk.Words(data, offsets, lower=True), size)
+                at = np.searchsorted(docs, np.arange(rows.num_rows + 1))
+                keys = [*zip(*(rows.column(c).to_pylist() for c in ("signature", "one", "other")))]
+                for i, (now, node, side, component) in enumerate(zip(keys, *(rows.column(c).to_pylist() for c in ("node", "side", "component")))):
+                    if now != key and sets:
+                        yield links(sets)
+                        sets = []
+                    key = now
+                    if not sets or sets[-1][:2] != (node, side):  # a row that repeats a document comes once more
+                        sets.append((node, side, component, shingles[at[i] : at[i + 1]].copy()))
+        if sets:
+            yield links(sets)
+
+    return run
+
+
+def _blockwise(docs: DataFrame, nodes: DataFrame, groups: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b): links that join the components of all sets that link in ``groups`` (signature, node, component, n: the group's sets).
+
+    A group's sets are dealt to blocks of about BLOCK, and each two blocks, or one with itself, to a task. No pairs are made.
+    """
+    blocks = f"((n + {BLOCK - 1}) div {BLOCK})"
+    dealt = groups.select("signature", "node", "component", F.expr(f"pmod(xxhash64(node, signature), {blocks})").alias("own"), F.explode(F.expr(f"sequence(0, {blocks} - 1)")).alias("with"))
+    dealt = dealt.select("signature", "node", "component", F.least("own", "with").alias("one"), F.greatest("own", "with").alias("other"), F.expr("int(own > with)").alias("side"))
+    wanted = broadcast_if(dealt.join(nodes.select("node", "doc_id", "text_hash"), "node"), BROADCAST_ROWS)
+    keys = ["signature", "one", "other"]
+    texts = docs.join(wanted, ["doc_id", "text_hash"]).select(*keys, "side", "node", "component", "text")
+    return texts.repartition(*keys).sortWithinPartitions(*keys, "side", "node").transform(in_arrow, _compare_blocks(size, percent), "a long, b long")
+
+
 def _lengths(percent: int) -> tuple[str, str, str]:
     """SQL for the lengths of prefixes of D(x), of ``d`` elements: linked sets', and the short and long ones of the others.
 
@@ -290,12 +363,15 @@ def _link_components(docs: DataFrame, signed_docs: DataFrame, nodes: DataFrame,
     release(docs.sparkSession)
     rows = stage(signed.join(common, "signature").distinct().select("signature", "node", F.col("node").alias("component"), F.lit(True).alias("small"), F.lit(True).alias("large")), "rows")
     drop(common)
-    found, small = components(known), SMALL
+    found, texts = components(known), TEXTS * nodes.count()
     drop(known)
     while True:
         sides = rows.groupBy("signature").agg(
-            F.count_if("small").alias("small_n"), F.count_if("large").alias("large_n"), F.count("*").alias("n"), F.min("component").alias("least"), F.max("component").alias("most")
-        ).where("least < most and small_n > 0 and large_n > 0").select("signature", "n", F.expr(f"least(small_n, large_n) <= {small}").alias("few"))
+            F.count_if("small").alias("small_n"), F.count_if("large").alias("large_n"), F.count("*").alias("n"), F.min("component").alias("least"), F.max("component").alias("most"),
+            F.min("node").alias("first"), F.bit_xor(F.xxhash64("node", "small", "large")).alias("sets"),
+        ).where("least < most and small_n > 0 and large_n > 0")
+        # Of signatures with the same sets one is enough.
+        sides = sides.groupBy("n", "small_n", "large_n", "first", "sets").agg(F.min("signature").alias("signature")).select("signature", "n", F.expr(f"least(small_n, large_n) <= {SMALL}").alias("few"))
         held = stage(rows.join(sides, "signature"), "held")
         drop(rows)
         if held.isEmpty():
@@ -304,7 +380,15 @@ def _link_components(docs: DataFrame, signed_docs: DataFrame, nodes: DataFrame,
         few, many = held.where("few"), held.where("not few")
         left = few.where("small").select("signature", F.col("node").alias("a"), F.col("component").alias("of_a"))
         right = few.where("large").select("signature", F.col("node").alias("b"), F.col("component").alias("of_b"))
+        sent = many.agg(F.sum(F.expr(f"(n + {BLOCK - 1}) div {BLOCK}"))).first()[0] or 0
         direct = left.join(right, "signature").where("of_a <> of_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(False).alias("deal"))
+        if sent <= texts:  # the pairs of small groups, and blocks of the others: all is compared then
+            pairs = stage(direct.distinct(), "pairs")
+            links = stage(compare(docs, nodes, pairs, size, percent).where("linked").select("a", "b"), "links")
+            blocks = stage(_blockwise(docs, nodes, many, size, percent), "blocks") if sent else links.limit(0)
+            found = _joined(found, links.union(blocks))
+            drop(held, pairs, links, *([blocks] if sent else []))
+            return found
         weight = many.groupBy("node").agg(F.sum("n").alias("weight"))
         first = many.join(weight, "node").groupBy("signature").agg(F.max(F.struct("weight", "node")).alias("best")).select("signature", F.col("best.node").alias("a"))
         central = many.join(first, "signature").where("node <> a").select("a", F.col("node").alias("b"), F.lit(True).alias("deal"))
@@ -317,7 +401,7 @@ def _link_components(docs: DataFrame, signed_docs: DataFrame, nodes: DataFrame,
         mixed = apart.groupBy("a").agg(F.min("of_b").alias("least"), F.max("of_b").alias("most")).where("least < most").select("a")
         rows = stage(_dealt_again(apart.join(mixed, "a", "left_semi"), percent), "rows")
         drop(compared)
-        small = min(4 * small, SMALL_MOST)
+        texts *= 4
 
 
 def _with_components(pairs: DataFrame, found: DataFrame) -> DataFrame:

@@ -156,6 +156,44 @@ def test_jaccard_hot_group(spark, size, percent, monkeypatch):
     assert got == want and len({c for i, (_, c) in want.items() if i >= 1000}) > 5
 
 
+@pytest.mark.parametrize(("size", "percent"), [(3, 90), (5, 80)])
+def test_jaccard_rounds(spark, size, percent, monkeypatch):
+    """Groups of texts that share most of a passage without linking, whose differences meet again and again, take few rounds."""
+    rng = random.Random(17)
+    base, rows, calls = [f"b{i}" for i in range(60)], [], []
+    for i in range(400):
+        w = [x for k, x in enumerate(base) if k % 12 or rng.random() < 0.5]
+        for _ in range(rng.randint(0, 6)):
+            w.insert(rng.randrange(len(w)), f"n{rng.randrange(3)}")
+        rows.append((i, " ".join(w)))
+    monkeypatch.setattr(jaccard_join, "BLOCK", 64, raising=False)
+    monkeypatch.setattr(jaccard_join, "compare", lambda *a, compare=jaccard_join.compare: calls.append(1) or compare(*a))
+    got = {i: (r["n_shingles"], r["component_id"]) for i, r in collected(jaccard_join.jaccard_components(frame(spark, [*rows, rows[0], rows[9]]), size, percent)).items()}
+    want = brute_components(rows, size, percent)
+    assert got == want and len({c for _, c in want.values()}) > 5
+    assert len(calls) <= 5
+
+
+def test_block_links():
+    """Links of two blocks, or of one with itself, join the components that all pairs join, and are links."""
+    rng = np.random.default_rng(3)
+    for n, sides in ((60, np.zeros(60, int)), (60, np.r_[np.zeros(25, int), np.ones(35, int)]), (1, np.zeros(1, int))):
+        sets = [np.unique(rng.permutation(30)[: rng.integers(20, 30)]).astype(np.uint64) for _ in range(n)]
+        sizes, known = np.array([len(s) for s in sets]), rng.integers(0, 50, n)
+        x, y = jaccard_join.block_links(np.repeat(np.arange(n), sizes), np.concatenate(sets), sizes, sides, known, 80)
+        assert len(x) < n
+        links = {(i, j) for i in range(n) for j in range(n) if (sides.max() == 0 or sides[i] < sides[j]) and 100 * len(set(sets[i]) & set(sets[j])) >= 80 * len(set(sets[i]) | set(sets[j]))}
+        assert set(zip(x.tolist(), y.tolist())) <= links
+
+        def joined(pairs):
+            label = known.copy()
+            for i, j in pairs:
+                label[label == label[j]] = label[i]
+            return {frozenset(np.flatnonzero(label == c).tolist()) for c in label}
+
+        assert joined(zip(x, y)) == joined(links)
+
+
 def test_prefixes_meet():
     """Any two sets that link meet in a linked or short prefix of one and a long prefix of the other."""
     from pyspark.sql import functions  # noqa: F401  the lengths are SQL; here the same integers in Python
