@@ -24,7 +24,7 @@ similarity is always the exact one of the two texts. Equal sets are one node, na
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +43,8 @@ BAND = 1.25
 SMALL, CHUNK = 4, 256
 #: Sets of a group that are compared with as many others at once, and texts a node that may be sent for that at first (four times as many each round).
 BLOCK, TEXTS = 128, 1
+#: Of the texts so sent, how many a node are shuffled at once, which bounds the shuffle's files.
+AT_ONCE = 0.5
 #: The parts of a group that make a signature.
 _SUBSETS = ((0, 1), (0, 2), (1, 2))
 
@@ -360,10 +362,11 @@ def _link_components(docs: DataFrame, signed_docs: DataFrame, nodes: DataFrame,
     counted = signed_docs.transform(in_arrow, _sign(size, percent, True), "signature long, number long").repartition("signature")
     common = stage(counted.groupBy("signature").agg(F.sum("number").alias("n")).where("n > 1").select("signature"), "common")
     signed = signed_docs.transform(in_arrow, _sign(size, percent, False), "signature long, node long")
-    release(docs.sparkSession)
+    release(docs.sparkSession, 1)
     rows = stage(signed.join(common, "signature").distinct().select("signature", "node", F.col("node").alias("component"), F.lit(True).alias("small"), F.lit(True).alias("large")), "rows")
     drop(common)
-    found, texts = components(known), TEXTS * nodes.count()
+    number = nodes.count()
+    found, texts = components(known), TEXTS * number
     drop(known)
     while True:
         sides = rows.groupBy("signature").agg(
@@ -384,10 +387,15 @@ def _link_components(docs: DataFrame, signed_docs: DataFrame, nodes: DataFrame,
         direct = left.join(right, "signature").where("of_a <> of_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(False).alias("deal"))
         if sent <= texts:  # the pairs of small groups, and blocks of the others: all is compared then
             pairs = stage(direct.distinct(), "pairs")
-            links = stage(compare(docs, nodes, pairs, size, percent).where("linked").select("a", "b"), "links")
-            blocks = stage(_blockwise(docs, nodes, many, size, percent), "blocks") if sent else links.limit(0)
-            found = _joined(found, links.union(blocks))
-            drop(held, pairs, links, *([blocks] if sent else []))
+            links = [stage(compare(docs, nodes, pairs, size, percent).where("linked").select("a", "b"), "links")]
+            drop(pairs)
+            parts = -(-sent // max(1, int(AT_ONCE * number)))
+            for part in range(parts):
+                groups = many.where(F.pmod(F.xxhash64("signature"), F.lit(parts)) == part)
+                links.append(stage(_blockwise(docs, nodes, groups, size, percent), "blocks"))
+                release(docs.sparkSession, 1)  # a part's shuffle files go before the next part's are written
+            found = _joined(found, reduce(DataFrame.union, links))
+            drop(held, *links)
             return found
         weight = many.groupBy("node").agg(F.sum("n").alias("weight"))
         first = many.join(weight, "node").groupBy("signature").agg(F.max(F.struct("weight", "node")).alias("best")).select("signature", F.col("best.node").alias("a"))

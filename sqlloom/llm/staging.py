@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -59,8 +60,12 @@ def drop(*frames: DataFrame) -> None:
         release(frames[0].sparkSession)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of plans that nothing refers to; it learns of them from the collectors."""
+def release(spark: SparkSession, wait: float = 0) -> None:
+    """Let Spark's cleaner delete the shuffle files of plans that nothing refers to; it learns of them from the collectors.
+
+    Listeners may still refer to a plan that has just ended; before large shuffles, ``wait`` (seconds) lets them catch up.
+    """
+    time.sleep(wait)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

@@ -174,6 +174,23 @@ def test_jaccard_rounds(spark, size, percent, monkeypatch):
     assert len(calls) <= 5
 
 
+def test_jaccard_parts(spark, monkeypatch):
+    """Groups that are compared block with block go through in parts, each of about AT_ONCE texts a node, and give the same components."""
+    rng = random.Random(5)
+    rows = []
+    for group in range(12):
+        base = [f"g{group}_{i}" for i in range(40)]
+        for i in range(12):
+            at = rng.randrange(30)
+            rows.append((100 * group + i, " ".join(base[:at] + [f"n{rng.randrange(2)}"] * rng.randint(0, 2) + base[at + rng.randint(0, 2) :])))
+    sent = []
+    monkeypatch.setattr(jaccard_join, "TEXTS", 1000)  # the first round ends the search
+    monkeypatch.setattr(jaccard_join, "_blockwise", lambda d, n, groups, *a, f=jaccard_join._blockwise: sent.append(groups.count()) or f(d, n, groups, *a))
+    got = {i: (r["n_shingles"], r["component_id"]) for i, r in collected(jaccard_join.jaccard_components(frame(spark, rows))).items()}
+    assert got == brute_components(rows, 3, 90)
+    assert len(sent) > 1 and max(sent) <= 2 * jaccard_join.AT_ONCE * len(rows)
+
+
 def test_block_links():
     """Links of two blocks, or of one with itself, join the components that all pairs join, and are links."""
     rng = np.random.default_rng(3)
