@@ -10,8 +10,11 @@ words were seen and the depth in the tree, chooses the weights that combine the
 and after each of its blocks its own copy of them takes a gradient step. The sum of the bits' log probabilities
 is the text's score; bits per byte follow from it.
 
-The counts are over all training texts; tables have a number of slots in proportion to the training tokens (up to
-``SLOTS``), and each task counts about ``TASK_BYTES`` of text, so tasks do not grow with the input. The starting weights are learned
+The counts are over all training texts. Tables have a number of slots in proportion to the training tokens; up to ``SLOTS`` of them
+all executors hold. Beyond, no table is made: texts go through in chunks, a chunk asks for the counts of its different (context,
+token), and contexts are dealt to shards, as many as the training tokens ask for. A shard adds up what all chunks counted of its
+contexts, exactly, and answers each chunk with the counts along the tokens' paths; then the chunk is scored. Each task counts about
+``TASK_BYTES`` of text, so tasks do not grow with the input. The starting weights are learned
 online in the same pass, over all of each training text: texts are predicted by what the task has counted so far, then learned, then
 counted. The tasks' weights are put together by their curvature.
 
@@ -25,15 +28,18 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sqlloom.llm import textkit as tk
-from sqlloom.llm.staging import batches_of, drop, in_arrow, stage
+from sqlloom.llm.staging import batches_of, drop, in_arrow, release, stage
 
 #: Remainder of crc32(doc_id) modulo 7 that is held out.
 FOLDS, HELD_OUT = 7, 2
@@ -41,8 +47,12 @@ FOLDS, HELD_OUT = 7, 2
 VOCABULARY, HELD_WORDS = 1 << 13, 1 << 17
 #: Different words that a task adds up before it passes their counts on.
 KEPT = 1 << 20
-#: Slots of a table at least and at most (powers of two), training tokens for each, and slots that travel as one row.
+#: Slots of a table at least, and at most where executors hold them (powers of two), training tokens for each, and slots that travel as one row.
 LEAST_SLOTS, SLOTS, TOKENS_PER_SLOT, ROW = 1 << 16, 1 << 22, 2, 1 << 14
+#: Beyond SLOTS: slots of the tables that a task learns its own part of the texts with (at most), training tokens of a shard, bytes of text of a chunk and of a row of it, and parts that chunks are scored in.
+LEARN_SLOTS, SHARD_TOKENS, CHUNK_BYTES, TEXT_BYTES, PARTS = 1 << 22, 1 << 21, 8 << 20, 1 << 20, 2
+#: Bits of a context's hash that its chunk and shard know it by.
+CONTEXT_BITS = 44
 #: Bytes of stored text that one counting or learning task reads, about.
 TASK_BYTES = 64 << 20
 #: Bits of a text after which its weights are refined: the first block, doubled up to the last; and the curvature that holds them back.
@@ -80,7 +90,7 @@ class Tree:
             for side, child in enumerate(pair):
                 above[child], bit[child] = leaves + i, side
         nodes, bits, depths, length, root = [], [], [], [], len(above) - 1
-        lines, places = [], []
+        lines, places, codes = [], [], []
         for leaf in range(leaves):
             path, at = [], leaf
             while at != root:
@@ -97,6 +107,12 @@ class Tree:
                     places.append(place)
                     place = 2 * place + b
             length.append(len(path))
+            codes.append(sum(int(b) << (63 - i) for i, (_, b) in enumerate(path)))  # a path of over 64 bits takes 2^44 tokens
+        # The leaves from left to right: those below a node are neighbours.
+        self.code = np.array(codes, np.uint64)
+        self.leaf_at = np.argsort(self.code)
+        self.position = np.argsort(self.leaf_at).astype(np.uint64)
+        self.width = np.uint64((leaves - 1).bit_length())
         self.length = np.array(length)
         self.start = (np.cumsum(self.length) - self.length).astype(np.int32)
         nodes, bits = np.array(nodes, np.uint32), np.array(bits, np.uint8)
@@ -108,6 +124,10 @@ class Tree:
         np.add.at(n, (bits, nodes), np.repeat(np.r_[counts, ends, others], self.length).astype(np.float64))
         self.logits = np.clip(np.log(n[1] + 0.5) - np.log(n[0] + 0.5), -12, 12).astype(np.float32)[nodes]
 
+    def leaves(self, keys: np.ndarray) -> np.ndarray:
+        """The leaf of each (context, token); see ``Tokens.keys``."""
+        return self.leaf_at[(keys & ((np.uint64(1) << self.width) - np.uint64(1))).astype(np.int64)]
+
     def symbols(self, hashes: np.ndarray) -> np.ndarray:
         """The leaf of each word."""
         if not len(self.words):
@@ -116,10 +136,17 @@ class Tree:
         return np.where(self.words[i] == hashes, i, len(self.words) + 1)
 
 
+def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """All numbers of ranges, one range after the other."""
+    out = np.repeat((start - (np.cumsum(length) - length)).astype(np.int32), length)
+    out += np.arange(len(out), dtype=np.int32)
+    return out
+
+
 class Tokens:
     """The tokens of some texts: symbol, text, and contexts of one and two words; the bits of all their paths in order."""
 
-    def __init__(self, tree: Tree, words: tk.Words):
+    def __init__(self, tree: Tree, words: tk.Words, walk: bool = True):
         n = words.n_docs
         self.counts = words.counts + 1
         ends = np.cumsum(self.counts) - 1
@@ -136,13 +163,24 @@ class Tokens:
         one[place < 1] = 0
         two[place < 2] = 0
         self.contexts = [tk.mix(one ^ np.uint64(0x1111)), tk.mix(tk.mix(one + np.uint64(7)) ^ two)]
+        if walk:
+            mixed = self.walk(tree)
+            length = tree.length[self.symbol]
+            self.slots = [np.repeat((c >> np.uint64(32)).astype(np.uint32) & ~np.uint32(7), length) ^ mixed for c in self.contexts]
+
+    def walk(self, tree: Tree) -> np.ndarray:
+        """Find the bits of all paths; returns their nodes' shares of slots."""
         length = tree.length[self.symbol]
-        path = np.repeat((tree.start[self.symbol] - (np.cumsum(length) - length)).astype(np.int32), length)
-        path += np.arange(len(path), dtype=np.int32)
+        path = _ranges(tree.start[self.symbol], length)
         place, self.logits, mixed = (np.take(t, path) for t in (tree.places, tree.logits, tree.mixed))
         self.node, self.depth, self.bits = place >> np.uint32(3), (place >> np.uint32(1)).astype(np.uint8) & np.uint8(3), (place & np.uint32(1)).astype(np.uint8)
-        self.slots = [np.repeat((c >> np.uint64(32)).astype(np.uint32) & ~np.uint32(7), length) ^ mixed for c in self.contexts]
         self.edges = np.r_[0, np.cumsum(length)][self.first]  # where texts' bits begin
+        return mixed
+
+    def keys(self, tree: Tree) -> np.ndarray:
+        """(context, token) of each token in one number: first all contexts of one word, then all of two. Tokens of a context are in the tree's order."""
+        place = tree.position[self.symbol]
+        return np.concatenate([(c >> np.uint64(64 - CONTEXT_BITS)) << tree.width | place for c in self.contexts])
 
     def before(self) -> tuple[np.ndarray, np.ndarray]:
         """Zeros and ones of the same text and node that stand before each bit."""
@@ -201,16 +239,23 @@ def inputs(tokens: Tokens, tables: Counts | Model) -> tuple[np.ndarray, np.ndarr
     return x, gate
 
 
+def _packed(logits: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    return (np.rint(np.clip(logits, -15, 15) * np.float32(512)).astype(np.int16) << 2) | seen
+
+
+def _unpacked(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (packed >> 2) * np.float32(1 / 512), (packed & 3).astype(np.uint8)
+
+
 class Model:
     """The tree, the models' logits (in steps of 1/512) and classes by slot in 16 bits, and the weights by gate."""
 
     def __init__(self, tree: Tree, tables: list[tuple[np.ndarray, np.ndarray]], weights: np.ndarray):
         self.tree, self.weights = tree, weights
-        self.tables = [(np.rint(np.clip(logits, -15, 15) * np.float32(512)).astype(np.int16) << 2) | seen for logits, seen in tables]
+        self.tables = [_packed(logits, seen) for logits, seen in tables]
 
     def look_up(self, m: int, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        packed = np.take(self.tables[m], slots & np.uint32(len(self.tables[m]) - 1))
-        return (packed >> 2) * np.float32(1 / 512), (packed & 3).astype(np.uint8)
+        return _unpacked(np.take(self.tables[m], slots & np.uint32(len(self.tables[m]) - 1)))
 
     def scores(self, words: tk.Words | Tokens) -> np.ndarray:
         """log10 probability of each text's tokens, escapes' tokens not told apart."""
@@ -221,6 +266,76 @@ class Model:
         return -np.add.reduceat(cost.astype(np.float64), tokens.edges[:-1]) / np.log(10)
 
 
+class Answered(Model):
+    """A model of one chunk: what shards answered, along the paths of the chunk's different keys; tokens' slots are places in it."""
+
+    def __init__(self, tree: Tree, answers: np.ndarray, weights: np.ndarray):
+        self.tree, self.answers, self.weights = tree, answers, weights
+
+    def look_up(self, m: int, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return _unpacked(np.take(self.answers, slots))
+
+
+def shared_bits(tree: Tree, keys: np.ndarray) -> np.ndarray:
+    """How many bits each path shares with that of the key before; -1 if that is of another context. ``keys``: sorted and different."""
+    code = tree.code[tree.leaves(keys)]
+    apart = code[1:] ^ code[:-1]
+    high = np.frexp((apart >> np.uint64(32)).astype(np.float64))[1]
+    low = np.frexp((apart & np.uint64(0xFFFFFFFF)).astype(np.float64))[1]
+    same = (keys[1:] ^ keys[:-1]) >> tree.width == 0
+    return np.r_[-1, np.where(same, 64 - np.where(high > 0, 32 + high, low), -1)][: len(keys)]
+
+
+def _together(shared: np.ndarray, length: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(depth, keys, where runs begin among them, lengths of runs) of keys that are at one node of one context with others."""
+    on, depth = np.arange(len(shared)), 0
+    while True:
+        # Such keys are neighbours: those between that end above the node are at none here.
+        on = on[length[on] > depth]
+        new = np.flatnonzero(shared[on] < depth)
+        run = np.diff(np.r_[new, len(on)])
+        on, run = on[np.repeat(run > 1, run)], run[run > 1]
+        if not len(on):
+            return
+        yield depth, on, np.cumsum(run) - run, run
+        depth += 1
+
+
+def path_counts(tree: Tree, keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Zeros and ones of the key's context at each node of the key's path, keys' paths one after the other, in single precision.
+
+    ``keys``: sorted and different, all those of their contexts; ``n``: how often each was counted. Sums are exact before they are rounded.
+    """
+    leaf = tree.leaves(keys)
+    code, length = tree.code[leaf], tree.length[leaf]
+    start = np.cumsum(length) - length
+    zeros = np.repeat(n.astype(np.float32), length)
+    ones = zeros * (tree.places[_ranges(tree.start[leaf], length)] & np.uint32(1)).astype(np.uint8)
+    zeros -= ones
+    for depth, on, new, run in _together(shared_bits(tree, keys), length):
+        times, at = n[on], start[on] + depth
+        one = np.add.reduceat(times * ((code[on] >> np.uint64(63 - depth)) & np.uint64(1)).astype(np.int64), new)
+        ones[at] = np.repeat(one, run)
+        zeros[at] = np.repeat(np.add.reduceat(times, new) - one, run)
+    return zeros, ones
+
+
+def _fresh(tree: Tree, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(shared bits, lengths, nodes that are not on the path of the key before, which of the fresh nodes' bits are ones) of a chunk's keys.
+
+    Only these nodes' logits are sent, and turned round where the bit is 0: then most are alike, and compress well.
+    """
+    leaf = tree.leaves(keys)
+    shared, length = shared_bits(tree, keys), tree.length[leaf]
+    fresh = length - shared - 1
+    return shared, length, fresh, (tree.places[_ranges(tree.start[leaf] + shared + 1, fresh)] & np.uint32(1)).astype(bool)
+
+
+def _turned(packed: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """Packed logits, those of zeros turned round."""
+    return np.where(ones, packed, -(packed >> 2) << 2 | packed & 3)
+
+
 def _blocks(edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The bits' order by the number of their block in their text, where each number's bits begin, and each text's blocks."""
     size = np.diff(edges)
@@ -362,14 +477,28 @@ def _add_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([out], pa.binary())], ["row", "slots"])
 
 
+def _slots(tokens: int, most: int) -> int:
+    slots = LEAST_SLOTS
+    while slots < most and slots * TOKENS_PER_SLOT < tokens:
+        slots *= 2
+    return slots
+
+
+def _bytes(docs: DataFrame) -> int:
+    return docs.select(F.octet_length("text").alias("n")).agg(F.sum("n")).first()[0] or 0
+
+
+def _learned(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A task's weights and their curvature."""
+    n, numbers = _MODELS + 1, np.frombuffer(raw)
+    return numbers[: _GATES * n].reshape(_GATES, n), numbers[_GATES * n :].reshape(_GATES, n, n)
+
+
 def _learn(docs: DataFrame, tree: Tree, tokens: int) -> Model:
     """Count the contexts of all training texts and learn the weights on all of them, in one pass."""
     context = docs.sparkSession.sparkContext
-    slots = LEAST_SLOTS
-    while slots < SLOTS and slots * TOKENS_PER_SLOT < tokens:
-        slots *= 2
-    size = docs.select(F.octet_length("text").alias("n")).agg(F.sum("n")).first()[0] or 0
-    tasks = max(context.defaultParallelism, -(-size // TASK_BYTES))
+    slots = _slots(tokens, SLOTS)
+    tasks = max(context.defaultParallelism, -(-_bytes(docs) // TASK_BYTES))
     counted = stage(docs.coalesce(tasks).transform(in_arrow, _count_and_learn(context.broadcast(tree), slots), "row int, counts binary"), "tables")
     row = min(ROW, 2 * slots)
     tables = [(np.zeros(slots, np.float32), np.zeros(slots, np.uint8)) for _ in range(_TABLES)]
@@ -378,45 +507,230 @@ def _learn(docs: DataFrame, tree: Tree, tokens: int) -> Model:
         (m, i), n = divmod(r["row"], 2 * slots // row), row // 2
         tables[m][0][i * n : (i + 1) * n] = np.frombuffer(r["slots"], np.float16, n)
         tables[m][1][i * n : (i + 1) * n] = np.frombuffer(r["slots"], np.uint8, n, 2 * n)
-    n, learned = _MODELS + 1, []
-    for r in counted.where("row < 0").collect():  # 15 kB a task
-        numbers = np.frombuffer(r["counts"])
-        learned.append((numbers[: _GATES * n].reshape(_GATES, n), numbers[_GATES * n :].reshape(_GATES, n, n)))
+    learned = [_learned(r["counts"]) for r in counted.where("row < 0").collect()]  # 15 kB a task
     drop(counted)
     return Model(tree, tables, together(learned))
 
 
-def _score(held):
+_SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, known_log double, after_log double, escapes long, rare array<long>, score double"
+
+
+def _scored(rows: pa.RecordBatch, words: tk.Words, tokens: Tokens, model: Model, logs: np.ndarray, more: np.ndarray, more_logs: np.ndarray) -> pa.RecordBatch:
     """Per text its score without what follows escapes; logs of the counts of all held words and of those that are no leaves; and the others."""
     names = [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("known_log", pa.float64())]
     schema = pa.schema([*names, ("after_log", pa.float64()), ("escapes", pa.int64()), ("rare", pa.list_(pa.int64())), ("score", pa.float64())])
+    n = words.n_docs
+    symbol = tokens.symbol[tokens.inner]
+    leaf = symbol < len(model.tree.words)
+    doc, other = words.doc[~leaf], tk.signed(words.hash[~leaf])
+    at = np.minimum(np.searchsorted(more, other), max(0, len(more) - 1))
+    hit = more[at] == other if len(more) else np.zeros(len(other), bool)
+    known = np.bincount(words.doc[leaf], minlength=n) + np.bincount(doc[hit], minlength=n)
+    after = np.bincount(doc[hit], more_logs[at[hit]], n)
+    ends = np.searchsorted(doc[~hit], np.arange(n + 1)).astype(np.int32)
+    ids = rows.column("doc_id").to_pylist()
+    return pa.RecordBatch.from_arrays([
+        pa.array(ids, pa.int64()), pa.array([fold(d) == HELD_OUT for d in ids], pa.bool_()), pa.array(words.counts.astype(np.int64) + 1),
+        pa.array(known.astype(np.int64)), pa.array(np.bincount(words.doc[leaf], logs[symbol[leaf]], n) + after), pa.array(after, pa.float64()),
+        pa.array(np.bincount(doc, minlength=n).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(other[~hit])), pa.array(model.scores(tokens)),
+    ], schema=schema)
+
+
+def _score(held):
+    """The rows of ``_scored``, by tables that executors hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, counts, more, more_counts = held.value
-        logs, more_logs = np.log10(counts + 1.0), np.log10(more_counts + 1.0)
+        model, *logs = held.value
         for batch in batches:
             for rows, data, offsets in tk.slices(batch, limit=_BATCH_BYTES):
                 words = tk.Words(data, offsets, lower=True)
-                n = words.n_docs
-                tokens = Tokens(model.tree, words)
-                symbol = tokens.symbol[tokens.inner]
-                leaf = symbol < len(model.tree.words)
-                doc, other = words.doc[~leaf], tk.signed(words.hash[~leaf])
-                at = np.minimum(np.searchsorted(more, other), max(0, len(more) - 1))
-                hit = more[at] == other if len(more) else np.zeros(len(other), bool)
-                known = np.bincount(words.doc[leaf], minlength=n) + np.bincount(doc[hit], minlength=n)
-                after = np.bincount(doc[hit], more_logs[at[hit]], n)
-                ends = np.searchsorted(doc[~hit], np.arange(n + 1)).astype(np.int32)
-                ids = rows.column("doc_id").to_pylist()
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(ids, pa.int64()), pa.array([fold(d) == HELD_OUT for d in ids], pa.bool_()), pa.array(words.counts.astype(np.int64) + 1),
-                    pa.array(known.astype(np.int64)), pa.array(np.bincount(words.doc[leaf], logs[symbol[leaf]], n) + after), pa.array(after, pa.float64()),
-                    pa.array(np.bincount(doc, minlength=n).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(other[~hit])), pa.array(model.scores(tokens)),
-                ], schema=schema)
+                yield _scored(rows, words, Tokens(model.tree, words), model, *logs)
 
     return run
 
 
+#: Rows between chunks and shards: of a chunk's text (shard -1), of a task's weights (-2), else what a chunk asks a shard or is answered.
+_MAIL = pa.schema([("place", pa.int32()), ("chunk", pa.int64()), ("shard", pa.int32()), ("part", pa.int32()), ("size", pa.int64()), ("body", pa.binary())])
+_MAIL_SQL = "place int, chunk long, shard int, part int, size long, body binary"
+
+
+def _mail(place: int, chunk: int, shard: int, part: int, raw) -> pa.RecordBatch:
+    row = (place, chunk, shard, part, len(raw), pa.Codec("zstd", compression_level=1 if shard >= 0 else 6).compress(raw, asbytes=True))
+    return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _MAIL)], schema=_MAIL)
+
+
+def _planes(numbers: np.ndarray) -> bytes:
+    """The numbers' first bytes, then their second ones and so on, which compresses better."""
+    return numbers.view(np.uint8).reshape(-1, numbers.itemsize).T.tobytes()
+
+
+def _numbers(raw, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
+
+
+def _added(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys, sorted, and the sums of their numbers."""
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+    return keys[first], np.add.reduceat(n, first, dtype=n.dtype) if len(first) else n
+
+
+def _learn_and_ask(held, slots: int, bits: int):
+    """The texts by chunk, what each asks of each of 2 ** ``bits`` shards (its keys and how often it counts them), and the task's weights."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, counts, learner = held.value, Counts(slots), Learner()
+        task, number = TaskContext.get().partitionId(), 0  # a task that runs again gives the same chunks
+        edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(CONTEXT_BITS + int(tree.width) - bits)
+        keys, times, size = [], [], 0
+
+        def add() -> None:
+            """Add up what there is so far, which keeps memory small."""
+            new = _added(np.concatenate(keys), np.concatenate(times))
+            keys[:], times[:] = [new[0]], [new[1]]
+
+        def asked() -> Iterator[pa.RecordBatch]:
+            add()
+            all_keys, all_times = keys.pop(), times.pop()
+            at = np.r_[0, np.searchsorted(all_keys, edges), len(all_keys)]
+            for shard in np.flatnonzero(np.diff(at)).tolist():
+                k, t = all_keys[at[shard] : at[shard + 1]], all_times[at[shard] : at[shard + 1]]
+                yield _mail(shard, chunk, shard, 0, _planes(np.diff(k, prepend=np.uint64(0))) + _planes(t))
+
+        chunk = task << 32
+        for batch in batches:
+            train = pa.array([fold(d) != HELD_OUT for d in batch.column("doc_id").to_pylist()], pa.bool_())
+            for learns, mine in ((True, batch.filter(train)), (False, batch.filter(pa.compute.invert(train)))):
+                for rows, _, _ in tk.slices(mine, limit=TEXT_BYTES):
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, rows.schema) as out:
+                        out.write_batch(rows)
+                    yield _mail(chunk % (1 << bits), chunk, -1, size, sink.getvalue())
+                    for _, data, offsets in tk.slices(rows, limit=_BATCH_BYTES):
+                        tokens = Tokens(tree, tk.Words(data, offsets, lower=True), walk=learns)
+                        if learns:
+                            learner.learn(*inputs(tokens, counts), tokens.bits)
+                            counts.add(tokens)
+                        k, t = np.unique(tokens.keys(tree), return_counts=True)
+                        keys.append(k)
+                        times.append(t.astype(np.uint32) if learns else np.zeros(len(t), np.uint32))
+                        size += len(data)
+                        if len(keys) > 16:
+                            add()
+                    if size >= CHUNK_BYTES:
+                        yield from asked()
+                        size, number = 0, number + 1
+                        chunk = task << 32 | number
+        if keys:
+            yield from asked()
+        yield _mail(task % (1 << bits), task, -2, 0, learner.weights.tobytes() + learner.curve.tobytes())
+
+    return run
+
+
+def _answer(held):
+    """Rows come sorted by shard. Add up what all chunks counted and answer each along the paths of its keys; other rows pass."""
+
+    def answers(asked: list[tuple[int, int, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        tree = held.value
+        keys, n = _added(np.concatenate([k for _, _, k, _ in asked]), np.concatenate([t for _, _, _, t in asked]).astype(np.int64))
+        zeros, ones = path_counts(tree, keys, n)
+        packed = np.empty(len(zeros), np.int16)
+        for i in range(0, len(zeros), 1 << 20):
+            z, o = zeros[i : i + (1 << 20)], ones[i : i + (1 << 20)]
+            packed[i : i + (1 << 20)] = _packed(_logit(z, o, 0.3), _classes(z + o))
+        del zeros, ones
+        length = tree.length[tree.leaves(keys)]
+        start = np.cumsum(length) - length
+        for chunk, shard, k, _ in asked:
+            shared, _, fresh, ones = _fresh(tree, k)
+            yield _mail(0, chunk, shard, 0, _planes(_turned(packed[_ranges(start[np.searchsorted(keys, k)] + shared + 1, fresh)], ones)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, asked = None, []
+        for batch in batches:
+            shards = batch.column("shard")
+            yield batch.filter(pa.compute.less(shards, 0))
+            for i, (chunk, shard, size) in enumerate(zip(batch.column("chunk").to_pylist(), shards.to_pylist(), batch.column("size").to_pylist())):
+                if shard < 0:
+                    continue
+                if shard != now and asked:
+                    yield from answers(asked)
+                    asked = []
+                now, raw = shard, pa.decompress(batch.column("body")[i].as_buffer(), size, "zstd")
+                asked.append((chunk, shard, np.cumsum(_numbers(raw[: size // 12 * 8], np.uint64), dtype=np.uint64), _numbers(raw[size // 12 * 8 :], np.uint32)))
+        if asked:
+            yield from answers(asked)
+
+    return run
+
+
+def _score_chunks(held):
+    """Rows come sorted by chunk, a chunk's texts first, then its answers by shard: the rows of ``_score``."""
+
+    def scored(texts: list[pa.RecordBatch], answers: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        (tree, weights), *logs = held.value
+        parts = []
+        for text in texts:
+            for rows, data, offsets in tk.slices(text, limit=_BATCH_BYTES):
+                words = tk.Words(data, offsets, lower=True)
+                parts.append((rows, words, Tokens(tree, words, walk=False)))
+        keys, back = np.unique(np.concatenate([tokens.keys(tree) for _, _, tokens in parts]), return_inverse=True)
+        shared, length, fresh, ones = _fresh(tree, keys)
+        answer = np.concatenate(answers)
+        if len(ones) != len(answer):
+            raise ValueError("a chunk lacks answers")
+        answer, start, first = _turned(answer, ones), np.cumsum(length) - length, np.cumsum(fresh) - fresh - shared - 1
+        model, low = Answered(tree, np.take(answer, _ranges(first, length), mode="clip"), weights), 0  # the others' nodes follow
+        for depth, on, new, run in _together(shared, length):
+            model.answers[start[on] + depth] = np.repeat(answer[first[on[new]] + depth], run)
+        for rows, words, tokens in parts:
+            tokens.walk(tree)
+            n = len(tokens.symbol)
+            tokens.slots = [_ranges(start[at], length[at]) for at in (back[low : low + n], back[low + n : low + 2 * n])]
+            low += 2 * n
+            yield _scored(rows, words, tokens, model, *logs)
+            del tokens.node, tokens.depth, tokens.bits, tokens.logits, tokens.slots
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, texts, answers = None, [], []
+        for batch in batches:
+            for i, (chunk, shard, size) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("chunk", "shard", "size")))):
+                if chunk != now and texts:
+                    yield from scored(texts, answers)
+                    texts, answers = [], []
+                now, raw = chunk, pa.decompress(batch.column("body")[i].as_buffer(), size, "zstd")
+                if shard < 0:
+                    texts += list(pa.ipc.open_stream(raw))
+                else:
+                    answers.append(_numbers(raw, np.int16))
+        if texts:
+            yield from scored(texts, answers)
+
+    return run
+
+
+def _ask_and_score(docs: DataFrame, tree: Tree, tokens: int, *logs: np.ndarray) -> DataFrame:
+    """The rows of ``_score`` where tables are too large for executors to hold: contexts are counted and looked up in shards."""
+    context, size = docs.sparkSession.sparkContext, _bytes(docs)
+    bits = max(0, -(-_TABLES * tokens // SHARD_TOKENS) - 1).bit_length()
+    tasks = max(context.defaultParallelism, -(-size // TASK_BYTES))
+    asked = docs.coalesce(tasks).transform(in_arrow, _learn_and_ask(shared := context.broadcast(tree), _slots(tokens, LEARN_SLOTS), bits), _MAIL_SQL)
+    dealt = asked.repartitionById(1 << bits, F.col("place")).sortWithinPartitions("shard", "chunk")
+    mail = stage(dealt.transform(in_arrow, _answer(shared), _MAIL_SQL), "mail")
+    del asked, dealt
+    weights = together([_learned(pa.decompress(r["body"], r["size"], "zstd", asbytes=True)) for r in mail.where("shard = -2").collect()])  # 15 kB a task
+    scores, rows = _score_chunks(context.broadcast(((tree, weights), *logs))), []
+    for part in range(PARTS):
+        release(docs.sparkSession, 1)  # the files of the questions, or of the part before, go before a part is dealt
+        chunks = mail.where("shard > -2").where(F.pmod(F.xxhash64("chunk"), F.lit(PARTS)) == part).repartition(tasks + size // CHUNK_BYTES // PARTS, "chunk")
+        rows.append(stage(chunks.sortWithinPartitions("chunk", "shard", "part").transform(in_arrow, scores, _SCORES), "scores"))
+        del chunks
+    drop(mail)
+    return reduce(DataFrame.union, rows)
+
+
 def lm_scores(docs: DataFrame) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -453,10 +767,13 @@ def _lm_scores(docs: DataFrame) -> DataFrame:
     leaves, more = (part.sort_values("word") for part in (frequent[:VOCABULARY], frequent[VOCABULARY:]))
     held_words, held_counts = leaves["word"].to_numpy(np.int64), leaves["n"].to_numpy(np.int64)
     others = all_tokens - ends - int(held_counts.sum())
-    model = _learn(docs, Tree(held_words, held_counts, ends, others), all_tokens)
-    held = docs.sparkSession.sparkContext.broadcast((model, held_counts, more["word"].to_numpy(np.int64), more["n"].to_numpy(np.int64)))
-    columns = "doc_id long, held_out boolean, n_tokens long, n_known long, known_log double, after_log double, escapes long, rare array<long>, score double"
-    rows = stage(docs.transform(in_arrow, _score(held), columns), "scores")
+    tree = Tree(held_words, held_counts, ends, others)
+    held = (np.log10(held_counts + 1.0), more["word"].to_numpy(np.int64), np.log10(more["n"].to_numpy(np.int64) + 1.0))
+    if all_tokens > SLOTS * TOKENS_PER_SLOT:
+        rows = _ask_and_score(docs, tree, all_tokens, *held)
+    else:
+        held = docs.sparkSession.sparkContext.broadcast((_learn(docs, tree, all_tokens), *held))
+        rows = stage(docs.transform(in_arrow, _score(held), _SCORES), "scores")
     total = float(np.log10(all_tokens + distinct + 1))
     rare = rows.select(F.xxhash64("doc_id", "score", "n_tokens", "known_log").alias("row"), F.explode("rare").alias("word"))
     # No word is frequent here, so none is a hot key.

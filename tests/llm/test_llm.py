@@ -725,6 +725,40 @@ def test_lm_learns_late_and_grows():
     assert np.allclose(score(texts), [score([t])[0] for t in texts], rtol=1e-4)
 
 
+def test_lm_counts_beyond_held_tables(spark, monkeypatch):
+    """Where executors cannot hold the tables, scores are those of tables with room for everything, not of full ones."""
+    rows = [*some_docs(7), (None, "a b a"), (9001, None), (9001, None)]
+    monkeypatch.setattr(lm_score, "TOKENS_PER_SLOT", 0.02)
+    monkeypatch.setattr(lm_score, "VOCABULARY", 30)
+    score = lambda: sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"], r["n_known"], r["base_score"], r["score"]) for r in lm_score.lm_scores(frame(spark, rows)).collect()))
+    held = score()
+    monkeypatch.setattr(lm_score, "LEAST_SLOTS", 8)
+    monkeypatch.setattr(lm_score, "SLOTS", 8)
+    monkeypatch.setattr(lm_score, "CHUNK_BYTES", 5_000, raising=False)
+    monkeypatch.setattr(lm_score, "SHARD_TOKENS", 3_000, raising=False)
+    dealt = score()
+    assert len(held) == len(dealt) == len(rows)
+    for a, b in zip(held, dealt):
+        assert a[:4] == b[:4] and abs(a[4] - b[4]) < 1e-6 * max(1, abs(a[4])) and abs(a[5] - b[5]) < 0.02 * max(1, abs(a[5])), (a, b)
+
+
+def test_lm_path_counts():
+    """Counts along paths, against adding up one token at a time."""
+    rng, tree = np.random.default_rng(2), lm_model().tree
+    keys = np.unique(rng.integers(0, 30, 400).astype(np.uint64) << tree.width | rng.integers(0, len(tree.length), 400).astype(np.uint64))
+    n = rng.integers(0, 5, len(keys))
+    seen, paths = defaultdict(lambda: [0, 0]), []
+    for key, times in zip(keys.tolist(), n.tolist()):
+        leaf = int(tree.leaves(np.array([key], np.uint64))[0])
+        path = tree.places[tree.start[leaf] : tree.start[leaf] + tree.length[leaf]]
+        paths.append([(key >> int(tree.width), int(p) >> 3) for p in path])
+        for at, p in zip(paths[-1], path):
+            seen[at][int(p) & 1] += times
+    zeros, ones = lm_score.path_counts(tree, keys, n)
+    assert [*zip(zeros.tolist(), ones.tolist())] == [tuple(seen[at]) for path in paths for at in path]
+    assert len(lm_score.path_counts(tree, keys[:0], n[:0])[0]) == 0
+
+
 def test_lm_edges(spark):
     got = lm_score.lm_scores(frame(spark, [(None, None), (3, ""), (4, "a b a"), (4, "a b a")])).collect()
     assert sorted(r["n_tokens"] for r in got) == [1, 1, 4, 4] and len({r["base_score"] for r in got if r["doc_id"] == 4}) == 1
