@@ -15,8 +15,10 @@ library as the file sets it up. Both give equal ids.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,6 +41,7 @@ SIMPLE = 0x250
 #: Distinct pre-tokens kept by a worker.
 KEPT = 300_000
 _DIMENSIONS, _BITS = 3, 10
+_BEYOND = re.compile(f"[^\0-{chr(SIMPLE - 1)}]")
 _LETTER, _NUMBER, _SPACE, _OTHER = 0, 1, 2, 3
 
 
@@ -97,10 +100,10 @@ class Encoder:
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
         byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
         ranks = {bytes(byte_of[c] for c in token): i for token, i in vocabulary.items() if all(c in byte_of for c in token) and token not in self.special}
-        self.piece = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.piece = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece  # of a pre-token's bytes, without the pattern
         self.whole = Tokenizer.from_file(path)
         self.type = np.uint16 if self.whole.get_vocab_size() <= 1 << 16 else np.uint32
-        self.kept: dict[str, bytes] = {}
+        self.kept: dict[bytes, bytes] = {}
         kinds = np.full(SIMPLE, _OTHER, np.uint8)
         for c in range(SIMPLE):
             category = unicodedata.category(chr(c))
@@ -150,7 +153,7 @@ class Encoder:
         for i, text in enumerate(texts):
             if not text:
                 out[i] = np.zeros(0, self.type)
-            elif (text.isascii() or max(text) < chr(SIMPLE)) and not any(t in text for t in self.special):
+            elif (text.isascii() or not _BEYOND.search(text)) and not any(t in text for t in self.special):
                 simple.append(i)
             else:
                 out[i] = np.array(self.whole.encode(text, add_special_tokens=False).ids, self.type)
@@ -165,14 +168,15 @@ class Encoder:
             _, where, back = np.unique(hashes, return_index=True, return_inverse=True)
             if len(self.kept) > KEPT:
                 self.kept.clear()
-            pieces, kept = [], self.kept
-            for i in where.tolist():
-                piece = joined[bounds[i] : bounds[i + 1]]
+            pieces, kept, width = [], self.kept, np.dtype(self.type).itemsize
+            code, raw = "H" if width == 2 else "I", joined.encode()
+            at = bounds + np.r_[0, np.cumsum(points >= 0x80, dtype=np.int32)][bounds]  # in bytes: simple characters have one or two
+            for low, high in zip(at[where].tolist(), at[where + 1].tolist()):
+                piece = raw[low:high]
                 ids = kept.get(piece)
                 if ids is None:
-                    ids = kept[piece] = np.array(self.piece(piece), self.type).tobytes()
+                    ids = kept[piece] = array(code, self.piece(piece)).tobytes()
                 pieces.append(ids)
-            width = np.dtype(self.type).itemsize
             sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // width
             table, base = np.frombuffer(b"".join(pieces), self.type), np.cumsum(sizes) - sizes
             each = sizes[back]

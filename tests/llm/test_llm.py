@@ -416,6 +416,19 @@ def test_packing(spark, monkeypatch):
     assert [(r["doc_id"], r["length"]) for r in packing.pack(frame(spark, [(None, None), (2, ""), (2, "")]), tokenizer_path()).orderBy("doc_id").collect()] == [(None, 1), (2, 1), (2, 1)]
 
 
+def test_pieces_from_bytes():
+    """A pre-token's bytes go to the merges as they are, without a search for a pattern in its text."""
+    from tokenizers import Tokenizer
+
+    from sqlloom.llm.queries import tokenizer_path
+
+    whole, encoder = Tokenizer.from_file(tokenizer_path()), packing._encoder(tokenizer_path())
+    for piece in ("word", " zyxwvqk", "\n\n", "'ll", " Größenänderung", "\u024f", "0123456789", "<|", "!?%" * 40):
+        assert list(encoder.piece(piece.encode())) == whole.encode(piece, add_special_tokens=False).ids
+    for text in ("ab \u024f cd", "ab \u0250 cd", "\u0250"):  # the last simple character, and the first other one
+        assert encoder.encode([text])[0].tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
 def test_range_edges(spark, monkeypatch):
     """One cell of the curve holds a third of all bytes; every range stays near its size."""
     monkeypatch.setattr(packing, "RANGE_BYTES", 3_000)
