@@ -45,6 +45,8 @@ SMALL, CHUNK = 4, 256
 BLOCK, TEXTS = 128, 1
 #: Of the texts so sent, how many a node are shuffled at once, which bounds the shuffle's files.
 AT_ONCE = 0.5
+#: Parts that the signatures are shuffled in; texts are signed once for each.
+PASSES = 2
 #: The parts of a group that make a signature.
 _SUBSETS = ((0, 1), (0, 2), (1, 2))
 
@@ -139,9 +141,9 @@ def _describe(size: int):
     return run
 
 
-def _sign(size: int, percent: int, count: bool):
-    """(signature, node), or with ``count`` (signature, number) of the signatures of some texts together."""
-    schema = pa.schema([("signature", pa.int64()), ("number" if count else "node", pa.int64())])
+def _sign(size: int, percent: int, part: int):
+    """(signature, node) of the signatures of one of PASSES parts."""
+    schema = pa.schema([("signature", pa.int64()), ("node", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,15 +151,26 @@ def _sign(size: int, percent: int, count: bool):
                 words = tk.Words(data, offsets, lower=True)
                 docs, shingles = distinct_shingles(words, size)
                 owner, signature = _signatures(docs, shingles, np.bincount(docs, minlength=words.n_docs), percent)
-                if count:
-                    signature, other = np.unique(signature, return_counts=True)
-                else:
-                    other = tk.signed(set_names(docs, shingles, words.n_docs)[owner])
-                yield pa.RecordBatch.from_arrays([pa.array(tk.signed(signature)), pa.array(other, pa.int64())], schema=schema)
+                mine = signature % np.uint64(PASSES) == part
+                node = tk.signed(set_names(docs, shingles, words.n_docs)[owner[mine]])
+                yield pa.RecordBatch.from_arrays([pa.array(tk.signed(signature[mine])), pa.array(node, pa.int64())], schema=schema)
 
     return run
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by signature and node: those of signatures that several nodes have, each once."""
+    last, told = np.zeros((2, 0), np.int64), False  # the row before this batch's, and whether it was passed on
+    for batch in batches:
+        rows = np.concatenate([last, [batch.column(c).to_numpy() for c in ("signature", "node")]], 1)
+        rows = rows[:, np.r_[True, (rows[:, 1:] != rows[:, :-1]).any(0)][: rows.shape[1]]]
+        same = rows[0, 1:] == rows[0, :-1]
+        keep = np.r_[same, False] | np.r_[False, same]
+        last, told, first = rows[:, -1:], bool(keep[-1:].any()) or (told and rows.shape[1] == 1), told
+        keep[:1] &= not first
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows[:, keep[: rows.shape[1]]]], ["signature", "node"])
+
+
 def differences(sizes: np.ndarray, docs: np.ndarray, shingles: np.ndarray, pivot: np.ndarray, wanted: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
     """Each set's number of elements in common with the pivot's, whether it is far, its number of own elements, and (set, element).
 
@@ -357,14 +370,15 @@ def _dealt_again(apart: DataFrame, percent: int) -> DataFrame:
 
 def _link_components(docs: DataFrame, signed_docs: DataFrame, nodes: DataFrame, known: DataFrame, size: int, percent: int) -> DataFrame:
     """(node, component) of the nodes that link; ``known``: a staged table of links (a, b) to start from."""
-    # The signatures of all documents are far more than the shared ones: they are made once to count them, once to find their nodes.
-    # Each task counts those of some texts together before the shuffle; a hash table of all of them would only fill its memory.
-    counted = signed_docs.transform(in_arrow, _sign(size, percent, True), "signature long, number long").repartition("signature")
-    common = stage(counted.groupBy("signature").agg(F.sum("number").alias("n")).where("n > 1").select("signature"), "common")
-    signed = signed_docs.transform(in_arrow, _sign(size, percent, False), "signature long, node long")
-    release(docs.sparkSession, 1)
-    rows = stage(signed.join(common, "signature").distinct().select("signature", "node", F.col("node").alias("component"), F.lit(True).alias("small"), F.lit(True).alias("large")), "rows")
-    drop(common)
+    # The signatures of all documents are far more than the shared ones: a part of them is shuffled at once, and its files go before the next part's come.
+    parts = []
+    for part in range(PASSES):
+        release(docs.sparkSession, 1)
+        signed = signed_docs.transform(in_arrow, _sign(size, percent, part), "signature long, node long").repartition("signature").sortWithinPartitions("signature", "node")
+        parts.append(stage(signed.transform(in_arrow, _shared, "signature long, node long"), "signed"))
+        del signed
+    rows = stage(reduce(DataFrame.union, parts).select("signature", "node", F.col("node").alias("component"), F.lit(True).alias("small"), F.lit(True).alias("large")), "rows")
+    drop(*parts)
     number = nodes.count()
     found, texts = components(known), TEXTS * number
     drop(known)
@@ -407,8 +421,11 @@ def _link_components(docs: DataFrame, signed_docs: DataFrame, nodes: DataFrame,
         apart = _with_components(compared.where("size(apart) > 0"), found)
         # Where all sets that were compared with a pivot are of one component with each other, nothing is left to find.
         mixed = apart.groupBy("a").agg(F.min("of_b").alias("least"), F.max("of_b").alias("most")).where("least < most").select("a")
-        rows = stage(_dealt_again(apart.join(mixed, "a", "left_semi"), percent), "rows")
+        # These rows are read several times over, so they are made once.
+        apart = stage(apart.join(mixed, "a", "left_semi"), "apart")
         drop(compared)
+        rows = stage(_dealt_again(apart, percent), "rows")
+        drop(apart)
         texts *= 4
 
 

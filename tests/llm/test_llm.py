@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sqlloom.llm import decontaminate, html_extract, jaccard_join, lm_score, packing, pii, quality_rules, substring_dedup, textkit, toxicity, url_filter
@@ -191,6 +192,20 @@ def test_jaccard_parts(spark, monkeypatch):
     assert len(sent) > 1 and max(sent) <= 2 * jaccard_join.AT_ONCE * len(rows)
 
 
+def test_shared_signatures():
+    """Signatures of several nodes, each row once, wherever batches end; all parts together sign what there is."""
+    rng = np.random.default_rng(4)
+    rows = np.sort(rng.integers(0, 150, 300) * 4 + rng.integers(0, 3, 300))
+    want = sorted({(int(r) // 4, int(r) % 4) for r in rows if len(set(rows[rows // 4 == r // 4].tolist())) > 1})
+    for cut in (1, 2, 7, 300):
+        batches = [pa.record_batch({"signature": pa.array(rows[i : i + cut] // 4), "node": pa.array(rows[i : i + cut] % 4)}) for i in range(0, 300, cut)]
+        out = [(r["signature"], r["node"]) for b in jaccard_join._shared(iter(batches)) for r in b.to_pylist()]
+        assert out == want, cut
+    text = pa.record_batch({"text": pa.array([" ".join(f"w{x}" for x in rng.integers(0, 90, n)) for n in (0, 2, 50, 400)])})
+    parts = [{r["signature"] for b in jaccard_join._sign(3, 90, part)(iter([text])) for r in b.to_pylist()} for part in range(jaccard_join.PASSES)]
+    assert len(parts) > 1 and all(parts) and not set.intersection(*parts)
+
+
 def test_block_links():
     """Links of two blocks, or of one with itself, join the components that all pairs join, and are links."""
     rng = np.random.default_rng(3)
