@@ -43,10 +43,12 @@ BAND = 1.25
 SMALL, CHUNK = 4, 256
 #: Sets of a group that are compared with as many others at once, and texts a node that may be sent for that at first (four times as many each round).
 BLOCK, TEXTS = 128, 1
-#: Of the texts so sent, how many a node are shuffled at once, which bounds the shuffle's files.
+#: Of the texts sent to be compared, with pivots or in blocks, how many a node are shuffled at once, which bounds the shuffle's files.
 AT_ONCE = 0.5
+#: So few texts to be compared with pivots go at once anyway.
+FEW_TEXTS = 1 << 14
 #: Parts that the signatures are shuffled in; texts are signed once for each.
-PASSES = 2
+PASSES = 3
 #: The parts of a group that make a signature.
 _SUBSETS = ((0, 1), (0, 2), (1, 2))
 
@@ -239,18 +241,27 @@ def _compare(size: int, percent: int):
     return run
 
 
-def compare(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(a, b, size_a, size_b, n_own, far, linked, apart) of staged pairs (a, b, deal); where ``deal`` holds, see ``differences``.
+def compare(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, percent: int) -> list[DataFrame]:
+    """Staged parts (a, b, size_a, size_b, n_own, far, linked, apart) of pairs (a, b, deal); where ``deal`` holds, see ``differences``.
 
-    A pivot's pairs are dealt to as many tasks as CHUNK asks for; its text goes to each, the others' texts to one each.
+    A pivot's pairs are dealt to as many tasks as CHUNK asks for; its text goes to each, the others' texts to one each. Each part
+    has whole tasks, of about AT_ONCE texts a node (or FEW_TEXTS) together.
     """
     many = pairs.groupBy("a").agg(F.expr(f"(count(*) + {CHUNK - 1}) div {CHUNK}").alias("chunks"))
     salted = pairs.join(many, "a").select("a", F.col("b").alias("node"), F.expr("pmod(xxhash64(b), chunks)").alias("salt"), F.lit(True).alias("compared"), "deal")
     pivots = salted.select("a", F.col("a").alias("node"), "salt", F.lit(False).alias("compared"), F.lit(False).alias("deal")).distinct()
-    wanted = broadcast_if(salted.union(pivots).join(nodes.select("node", "doc_id", "text_hash"), "node"), BROADCAST_ROWS)
-    texts = docs.join(wanted, ["doc_id", "text_hash"]).select("a", "salt", "compared", "node", "deal", "text")
-    dealt = texts.repartition("a", "salt").sortWithinPartitions("a", "salt", "compared", "node")
-    return dealt.transform(in_arrow, _compare(size, percent), "a long, b long, size_a long, size_b long, n_own long, far boolean, linked boolean, apart array<long>")
+    wanted = stage(salted.union(pivots).join(nodes.select("node", "doc_id", "text_hash"), "node"), "wanted")
+    parts, out = max(1, -(-wanted.count() // max(FEW_TEXTS, int(AT_ONCE * nodes.count())))), []
+    for part in range(parts):
+        release(docs.sparkSession, 1)  # a part's shuffle files go before the next part's are written
+        mine = broadcast_if(wanted.where(F.pmod(F.xxhash64("a", "salt"), F.lit(parts)) == part), BROADCAST_ROWS)
+        texts = docs.join(mine, ["doc_id", "text_hash"]).select("a", "salt", "compared", "node", "deal", "text")
+        dealt = texts.repartition("a", "salt").sortWithinPartitions("a", "salt", "compared", "node")
+        out.append(stage(dealt.transform(in_arrow, _compare(size, percent), "a long, b long, size_a long, size_b long, n_own long, far boolean, linked boolean, apart array<long>"), "compared"))
+        del mine, texts, dealt
+    drop(wanted)
+    release(docs.sparkSession, 1)
+    return out
 
 
 def block_links(docs: np.ndarray, shingles: np.ndarray, sizes: np.ndarray, sides: np.ndarray, components: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -377,6 +388,7 @@ def _link_components(docs: DataFrame, signed_docs: DataFrame, nodes: DataFrame,
         signed = signed_docs.transform(in_arrow, _sign(size, percent, part), "signature long, node long").repartition("signature").sortWithinPartitions("signature", "node")
         parts.append(stage(signed.transform(in_arrow, _shared, "signature long, node long"), "signed"))
         del signed
+    release(docs.sparkSession, 1)
     rows = stage(reduce(DataFrame.union, parts).select("signature", "node", F.col("node").alias("component"), F.lit(True).alias("small"), F.lit(True).alias("large")), "rows")
     drop(*parts)
     number = nodes.count()
@@ -401,8 +413,9 @@ def _link_components(docs: DataFrame, signed_docs: DataFrame, nodes: DataFrame,
         direct = left.join(right, "signature").where("of_a <> of_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(False).alias("deal"))
         if sent <= texts:  # the pairs of small groups, and blocks of the others: all is compared then
             pairs = stage(direct.distinct(), "pairs")
-            links = [stage(compare(docs, nodes, pairs, size, percent).where("linked").select("a", "b"), "links")]
-            drop(pairs)
+            compared = compare(docs, nodes, pairs, size, percent)
+            links = [stage(reduce(DataFrame.union, compared).where("linked").select("a", "b"), "links")]
+            drop(pairs, *compared)
             parts = -(-sent // max(1, int(AT_ONCE * number)))
             for part in range(parts):
                 groups = many.where(F.pmod(F.xxhash64("signature"), F.lit(parts)) == part)
@@ -415,15 +428,16 @@ def _link_components(docs: DataFrame, signed_docs: DataFrame, nodes: DataFrame,
         first = many.join(weight, "node").groupBy("signature").agg(F.max(F.struct("weight", "node")).alias("best")).select("signature", F.col("best.node").alias("a"))
         central = many.join(first, "signature").where("node <> a").select("a", F.col("node").alias("b"), F.lit(True).alias("deal"))
         pairs = stage(direct.union(central).groupBy("a", "b").agg(F.max("deal").alias("deal")), "pairs")
-        compared = stage(compare(docs, nodes, pairs, size, percent), "compared")
-        drop(held, pairs)
-        found = _joined(found, compared.where("linked").select("a", "b"))
-        apart = _with_components(compared.where("size(apart) > 0"), found)
+        drop(held)
+        compared = compare(docs, nodes, pairs, size, percent)
+        drop(pairs)
+        found = _joined(found, reduce(DataFrame.union, compared).where("linked").select("a", "b"))
+        apart = _with_components(reduce(DataFrame.union, compared).where("size(apart) > 0"), found)
         # Where all sets that were compared with a pivot are of one component with each other, nothing is left to find.
         mixed = apart.groupBy("a").agg(F.min("of_b").alias("least"), F.max("of_b").alias("most")).where("least < most").select("a")
         # These rows are read several times over, so they are made once.
         apart = stage(apart.join(mixed, "a", "left_semi"), "apart")
-        drop(compared)
+        drop(*compared)
         rows = stage(_dealt_again(apart, percent), "rows")
         drop(apart)
         texts *= 4

@@ -192,6 +192,32 @@ def test_jaccard_parts(spark, monkeypatch):
     assert len(sent) > 1 and max(sent) <= 2 * jaccard_join.AT_ONCE * len(rows)
 
 
+def test_jaccard_compared_in_parts(spark, monkeypatch):
+    """Texts go to their pivots in parts of about AT_ONCE texts a node, and all pairs are compared once."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"g{i % 3}_{k}" for k in range(60) if k != 7 * (i // 3)) + f" n{rng.randrange(9)}") for i in range(60)]
+    pairs = [(i % 3, i, True) for i in range(3, 60)] + [(i, i + 1, False) for i in range(20)]
+    monkeypatch.setattr(jaccard_join, "CHUNK", 4)
+    monkeypatch.setattr(jaccard_join, "FEW_TEXTS", 1, raising=False)
+    docs = frame(spark, rows).selectExpr("doc_id", "text", "xxhash64(text) text_hash")
+    nodes = docs.selectExpr("doc_id node", "doc_id", "text_hash")
+    parts = jaccard_join.compare(docs, nodes, spark.createDataFrame(pairs, "a long, b long, deal boolean"), 3, 90)
+    got = sorted((r["a"], r["b"], r["linked"]) for part in parts for r in part.collect())
+    sets = [{tuple(t.split()[i : i + 3]) for i in range(len(t.split()) - 2)} for _, t in rows]
+    assert got == sorted((a, b, 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])) for a, b, _ in pairs)
+    assert len(parts) > 1 and max(p.count() for p in parts) <= 2 * jaccard_join.AT_ONCE * len(rows)
+
+
+def test_jaccard_releases_signatures(spark, monkeypatch):
+    """What was shuffled for the last part of the signatures goes before more tables are written."""
+    names = []
+    monkeypatch.setattr(jaccard_join, "stage", lambda df, name="t", stage=jaccard_join.stage: names.append(name) or stage(df, name))
+    monkeypatch.setattr(jaccard_join, "release", lambda *a, release=jaccard_join.release: names.append("release") or release(*a))
+    jaccard_join.jaccard_components(frame(spark, [(i, f"a{i} b{i} c{i} d{i}") for i in range(9)])).count()
+    last = len(names) - 1 - names[::-1].index("signed")
+    assert names.count("signed") == jaccard_join.PASSES and "release" in names[last : names.index("rows", last)]
+
+
 def test_shared_signatures():
     """Signatures of several nodes, each row once, wherever batches end; all parts together sign what there is."""
     rng = np.random.default_rng(4)
