@@ -63,9 +63,11 @@ def drop(*frames: DataFrame) -> None:
 def release(spark: SparkSession, wait: float = 0) -> None:
     """Let Spark's cleaner delete the shuffle files of plans that nothing refers to; it learns of them from the collectors.
 
-    Listeners may still refer to a plan that has just ended; before large shuffles, ``wait`` (seconds) lets them catch up.
+    Listeners may still refer to a plan that has just ended; before large shuffles, ``wait`` (seconds) lets them catch up, and a small query takes that plan's place where the last one is held.
     """
-    time.sleep(wait)
+    if wait:
+        time.sleep(wait)
+        spark.range(1).count()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
