@@ -33,9 +33,10 @@ from pyspark.sql import functions as F
 
 from sqlloom.llm import textkit as tk
 from sqlloom.llm.components import components
-from sqlloom.llm.staging import broadcast_if, drop, in_arrow, release, stage
+from sqlloom.llm.staging import broadcast_if, drop, in_arrow, release, shuffles_cleaned, stage
+from sqlloom.llm.url_filter import KEYS_PER_BLOCK, LONGS, _bits, bloom_blocks
 
-#: Rows of ids, or of pairs to compare, that are sent to all executors (under 64 bytes each); beyond, joins are shuffled.
+#: Rows of ids, or of pairs to compare, that are sent to all executors (under 64 bytes each); beyond, joins are shuffled, of the texts that a Bloom filter of as many rows passes.
 BROADCAST_ROWS = 1 << 18
 #: Upper end over lower end of a size band.
 BAND = 1.25
@@ -47,6 +48,8 @@ BLOCK, TEXTS = 128, 1
 AT_ONCE = 0.5
 #: So few texts to be compared with pivots go at once anyway.
 FEW_TEXTS = 1 << 14
+#: Elements a node in which sets differ from their pivots, and how many anyway, that are dealt again at once.
+ELEMENTS, FEW_ELEMENTS = 24, 1 << 20
 #: Parts that the signatures are shuffled in; texts are signed once for each.
 PASSES = 3
 #: The parts of a group that make a signature.
@@ -241,6 +244,27 @@ def _compare(size: int, percent: int):
     return run
 
 
+def _filtered(docs: DataFrame, keys: DataFrame, on: list[str], n: int) -> DataFrame:
+    """``docs`` with ``passed``, false only for rows that none of the ``n`` rows of ``keys`` meets; see ``url_filter``."""
+    n_blocks = -(-n // KEYS_PER_BLOCK)
+    blocks = bloom_blocks(keys.select(F.struct(*on).alias("key")), n_blocks)
+    tested = docs.withColumn("key", F.struct(*on)).withColumn("block", F.expr(f"pmod(xxhash64(key), {n_blocks})")).join(F.broadcast(blocks), "block", "left")
+    passed = reduce(lambda x, y: x & y, (bits.bitwiseAND(F.col(f"w{i}")) == bits for i, bits in enumerate(_bits("key"))))
+    return tested.withColumn("passed", F.coalesce(passed, F.lit(False))).drop("key", "block", *[f"w{i}" for i in range(LONGS)])
+
+
+def _joined_texts(docs: DataFrame, keys: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """``docs`` joined with the staged table ``keys``, of which no text is shuffled that cannot meet a key (how: inner or left_anti)."""
+    n = keys.count()
+    if n <= BROADCAST_ROWS:
+        return docs.join(F.broadcast(keys), on, how)
+    if n > KEYS_PER_BLOCK * BROADCAST_ROWS:
+        return docs.join(keys, on, how)
+    tested = _filtered(docs, keys, on, n)
+    met = tested.where("passed").drop("passed").join(keys, on, how)
+    return met if how == "inner" else met.unionByName(tested.where("not passed").drop("passed"))
+
+
 def compare(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, percent: int) -> list[DataFrame]:
     """Staged parts (a, b, size_a, size_b, n_own, far, linked, apart) of pairs (a, b, deal); where ``deal`` holds, see ``differences``.
 
@@ -251,11 +275,12 @@ def compare(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, perc
     salted = pairs.join(many, "a").select("a", F.col("b").alias("node"), F.expr("pmod(xxhash64(b), chunks)").alias("salt"), F.lit(True).alias("compared"), "deal")
     pivots = salted.select("a", F.col("a").alias("node"), "salt", F.lit(False).alias("compared"), F.lit(False).alias("deal")).distinct()
     wanted = stage(salted.union(pivots).join(nodes.select("node", "doc_id", "text_hash"), "node"), "wanted")
-    parts, out = max(1, -(-wanted.count() // max(FEW_TEXTS, int(AT_ONCE * nodes.count())))), []
+    at_once = min(int(AT_ONCE * nodes.count()), KEYS_PER_BLOCK * BROADCAST_ROWS // 2)
+    parts, out = max(1, -(-wanted.count() // max(FEW_TEXTS, at_once))), []
     for part in range(parts):
         release(docs.sparkSession, 1)  # a part's shuffle files go before the next part's are written
-        mine = broadcast_if(wanted.where(F.pmod(F.xxhash64("a", "salt"), F.lit(parts)) == part), BROADCAST_ROWS)
-        texts = docs.join(mine, ["doc_id", "text_hash"]).select("a", "salt", "compared", "node", "deal", "text")
+        mine = wanted.where(F.pmod(F.xxhash64("a", "salt"), F.lit(parts)) == part)
+        texts = _joined_texts(docs, mine, ["doc_id", "text_hash"]).select("a", "salt", "compared", "node", "deal", "text")
         dealt = texts.repartition("a", "salt").sortWithinPartitions("a", "salt", "compared", "node")
         out.append(stage(dealt.transform(in_arrow, _compare(size, percent), "a long, b long, size_a long, size_b long, n_own long, far boolean, linked boolean, apart array<long>"), "compared"))
         del mine, texts, dealt
@@ -321,18 +346,24 @@ def _compare_blocks(size: int, percent: int):
     return run
 
 
-def _blockwise(docs: DataFrame, nodes: DataFrame, groups: DataFrame, size: int, percent: int) -> DataFrame:
-    """(a, b): links that join the components of all sets that link in ``groups`` (signature, node, component, n: the group's sets).
+def _in_blocks(groups: DataFrame) -> DataFrame:
+    """(signature, node, component, one, other, side): the texts to send, of ``groups`` (signature, node, component, n: the group's sets).
 
     A group's sets are dealt to blocks of about BLOCK, and each two blocks, or one with itself, to a task. No pairs are made.
     """
     blocks = f"((n + {BLOCK - 1}) div {BLOCK})"
     dealt = groups.select("signature", "node", "component", F.expr(f"pmod(xxhash64(node, signature), {blocks})").alias("own"), F.explode(F.expr(f"sequence(0, {blocks} - 1)")).alias("with"))
-    dealt = dealt.select("signature", "node", "component", F.least("own", "with").alias("one"), F.greatest("own", "with").alias("other"), F.expr("int(own > with)").alias("side"))
-    wanted = broadcast_if(dealt.join(nodes.select("node", "doc_id", "text_hash"), "node"), BROADCAST_ROWS)
+    return dealt.select("signature", "node", "component", F.least("own", "with").alias("one"), F.greatest("own", "with").alias("other"), F.expr("int(own > with)").alias("side"))
+
+
+def _blockwise(docs: DataFrame, nodes: DataFrame, dealt: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b), staged: links that join the components of all sets that link in the tasks of ``dealt``; see ``_in_blocks``."""
+    wanted = stage(dealt.join(nodes.select("node", "doc_id", "text_hash"), "node"), "wanted")
     keys = ["signature", "one", "other"]
-    texts = docs.join(wanted, ["doc_id", "text_hash"]).select(*keys, "side", "node", "component", "text")
-    return texts.repartition(*keys).sortWithinPartitions(*keys, "side", "node").transform(in_arrow, _compare_blocks(size, percent), "a long, b long")
+    texts = _joined_texts(docs, wanted, ["doc_id", "text_hash"]).select(*keys, "side", "node", "component", "text")
+    links = stage(texts.repartition(*keys).sortWithinPartitions(*keys, "side", "node").transform(in_arrow, _compare_blocks(size, percent), "a long, b long"), "blocks")
+    drop(wanted)
+    return links
 
 
 def _lengths(percent: int) -> tuple[str, str, str]:
@@ -355,16 +386,22 @@ def _lengths(percent: int) -> tuple[str, str, str]:
     return linked, short, long
 
 
-def _dealt_again(apart: DataFrame, percent: int) -> DataFrame:
-    """(signature, node, component, small, large) by prefixes, of rows of ``compare`` with components.
+def _several(apart: DataFrame, part: int, parts: int) -> DataFrame:
+    """(a, e, n): elements in which several sets near a pivot differ from it; one of so many parts of them."""
+    elements = apart.where("not far").select("a", F.explode("apart").alias("e")).where(F.pmod(F.xxhash64("e"), F.lit(parts)) == part)
+    return elements.groupBy("a", "e").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def _dealt_again(apart: DataFrame, shared: DataFrame, percent: int, part: int, parts: int) -> DataFrame:
+    """(signature, node, component, small, large) by prefixes, of rows of ``compare`` with components; one of so many parts.
 
-    Sets near the pivot are dealt out by the prefixes of their differences D. A set x that links with another shares an element
+    Sets near the pivot are dealt out by the prefixes of their differences D; ``shared``: see ``_several``. A set x that links with another shares an element
     with it among the first |x| + 1 - percent |x| / 100 of each, in any common order; let the elements that the pivot lacks come first.
-    A far set's prefix has only such elements, so it meets another set, far or near, in one of those.
+    A far set's prefix has only such elements, so it meets another set, far or near, in one of those. A part has whole sets near pivots, and
+    whole signatures of the others.
     """
-    near = apart.where("not far")
+    near = apart.where("not far").where(F.pmod(F.xxhash64("b"), F.lit(parts)) == part)
     elements = near.select("a", "b", F.explode("apart").alias("e"))
-    shared = elements.groupBy("a", "e").agg(F.count("*").alias("n")).where("n > 1")
     # Elements that no other set has come first in a prefix and meet nothing, so they are only counted.
     ranked = elements.join(shared, ["a", "e"]).groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("n", "e"))).alias("held"))
     linked, short, long = (F.expr(x) for x in _lengths(percent))
@@ -375,6 +412,7 @@ def _dealt_again(apart: DataFrame, percent: int) -> DataFrame:
     with_far = apart.where("far").select("a").distinct()
     own = apart.join(with_far, "a", "left_semi").select("a", "b", "of_b", "far", F.explode(F.expr("slice(apart, 1, cast(n_own as int))")).alias("e"))
     own = own.select(F.xxhash64("a", "e", F.lit("far")).alias("signature"), F.col("b").alias("node"), F.col("of_b").alias("component"), F.lit(True).alias("small"), F.col("far").alias("large"))
+    own = own.where(F.pmod("signature", F.lit(parts)) == part)
     met = own.groupBy("signature").agg(F.count("*").alias("n")).where("n > 1").select("signature")
     return by_difference.union(own.join(met, "signature", "left_semi").select(*by_difference.columns))
 
@@ -391,6 +429,7 @@ def _link_components(docs: DataFrame, signed_docs: DataFrame, nodes: DataFrame,
     release(docs.sparkSession, 1)
     rows = stage(reduce(DataFrame.union, parts).select("signature", "node", F.col("node").alias("component"), F.lit(True).alias("small"), F.lit(True).alias("large")), "rows")
     drop(*parts)
+    made = [rows]
     number = nodes.count()
     found, texts = components(known), TEXTS * number
     drop(known)
@@ -402,7 +441,7 @@ def _link_components(docs: DataFrame, signed_docs: DataFrame, nodes: DataFrame,
         # Of signatures with the same sets one is enough.
         sides = sides.groupBy("n", "small_n", "large_n", "first", "sets").agg(F.min("signature").alias("signature")).select("signature", "n", F.expr(f"least(small_n, large_n) <= {SMALL}").alias("few"))
         held = stage(rows.join(sides, "signature"), "held")
-        drop(rows)
+        drop(*made)
         if held.isEmpty():
             drop(held)
             return found
@@ -416,10 +455,10 @@ def _link_components(docs: DataFrame, signed_docs: DataFrame, nodes: DataFrame,
             compared = compare(docs, nodes, pairs, size, percent)
             links = [stage(reduce(DataFrame.union, compared).where("linked").select("a", "b"), "links")]
             drop(pairs, *compared)
-            parts = -(-sent // max(1, int(AT_ONCE * number)))
-            for part in range(parts):
-                groups = many.where(F.pmod(F.xxhash64("signature"), F.lit(parts)) == part)
-                links.append(stage(_blockwise(docs, nodes, groups, size, percent), "blocks"))
+            parts = -(-sent // max(1, min(int(AT_ONCE * number), KEYS_PER_BLOCK * BROADCAST_ROWS // 2)))
+            for part in range(parts):  # by two blocks: one group may have most of the texts
+                dealt = _in_blocks(many).where(F.pmod(F.xxhash64("signature", "one", "other"), F.lit(parts)) == part)
+                links.append(_blockwise(docs, nodes, dealt, size, percent))
                 release(docs.sparkSession, 1)  # a part's shuffle files go before the next part's are written
             found = _joined(found, reduce(DataFrame.union, links))
             drop(held, *links)
@@ -432,27 +471,32 @@ def _link_components(docs: DataFrame, signed_docs: DataFrame, nodes: DataFrame,
         compared = compare(docs, nodes, pairs, size, percent)
         drop(pairs)
         found = _joined(found, reduce(DataFrame.union, compared).where("linked").select("a", "b"))
-        apart = _with_components(reduce(DataFrame.union, compared).where("size(apart) > 0"), found)
         # Where all sets that were compared with a pivot are of one component with each other, nothing is left to find.
-        mixed = apart.groupBy("a").agg(F.min("of_b").alias("least"), F.max("of_b").alias("most")).where("least < most").select("a")
-        # These rows are read several times over, so they are made once.
-        apart = stage(apart.join(mixed, "a", "left_semi"), "apart")
-        drop(*compared)
-        rows = stage(_dealt_again(apart, percent), "rows")
-        drop(apart)
+        differing = _with_component(reduce(DataFrame.union, compared).where("size(apart) > 0").select("a", "b"), found)
+        mixed = stage(differing.groupBy("a").agg(F.min("of_b").alias("least"), F.max("of_b").alias("most")).where("least < most").select("a"), "mixed")
+        of_mixed, staged = broadcast_if(mixed, BROADCAST_ROWS), []
+        for part in compared:  # these rows are read several times over, so they are made once
+            staged.append(stage(_with_component(part.where("size(apart) > 0").join(of_mixed, "a", "left_semi"), found), "apart"))
+            drop(part)
+        drop(mixed)
+        apart = reduce(DataFrame.union, staged)
+        parts = max(1, -(-(apart.agg(F.sum(F.size("apart"))).first()[0] or 0) // max(FEW_ELEMENTS, ELEMENTS * number)))
+        several = [stage(_several(apart, part, parts), "several") for part in range(parts)]
+        made = [stage(_dealt_again(apart, reduce(DataFrame.union, several), percent, part, parts), "rows") for part in range(parts)]
+        rows = reduce(DataFrame.union, made)
+        drop(*several, *staged)
         texts *= 4
 
 
-def _with_components(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """``pairs`` with of_a and of_b, the components of a and b; a node that has no link is one of its own."""
-    of_a = found.select(F.col("node").alias("a"), F.col("component").alias("of_a"))
-    of_b = found.select(F.col("node").alias("b"), F.col("component").alias("of_b"))
-    return pairs.join(of_b, "b", "left").join(of_a, "a", "left").withColumn("of_a", F.coalesce("of_a", "a")).withColumn("of_b", F.coalesce("of_b", "b"))
+def _with_component(pairs: DataFrame, found: DataFrame, end: str = "b") -> DataFrame:
+    """``pairs`` with of_b (or of_a), the component of b (or a); a node that has no link is one of its own."""
+    of = found.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
+    return pairs.join(of, end, "left").withColumn(f"of_{end}", F.coalesce(f"of_{end}", end))
 
 
 def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
     """The components (node, component; staged) after more links: those between components join whole components."""
-    between = stage(_with_components(links, found).where("of_a <> of_b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct(), "between")
+    between = stage(_with_component(_with_component(links, found), found, "a").where("of_a <> of_b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct(), "between")
     if between.isEmpty():
         drop(between)
         return found
@@ -464,6 +508,12 @@ def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def components_of(docs: DataFrame, size: int, percent: int, by_id: bool = True) -> tuple[DataFrame, DataFrame]:
+    """See ``_components_of``; shuffle files go with each staged table."""
+    with shuffles_cleaned(docs.sparkSession):
+        return _components_of(docs, size, percent, by_id)
+
+
+def _components_of(docs: DataFrame, size: int, percent: int, by_id: bool) -> tuple[DataFrame, DataFrame]:
     """Staged tables of all rows (doc_id, text_hash, n_shingles, node), and of nodes (node, component_id, doc_id, text_hash).
 
     A node is a set of shingles; ``doc_id`` and ``text_hash`` are those of its first row. Rows with a null id give no node.
@@ -476,7 +526,7 @@ def components_of(docs: DataFrame, size: int, percent: int, by_id: bool = True)
     # Only documents that give nodes are signed: ids all of whose texts are copies go.
     copies = usable.select("doc_id").distinct().join(nodes.select("doc_id").distinct(), "doc_id", "left_anti")
     named = docs.where("doc_id is not null")
-    own = named.join(broadcast_if(stage(copies, "copies"), BROADCAST_ROWS), "doc_id", "left_anti")
+    own = _joined_texts(named, stage(copies, "copies"), ["doc_id"], "left_anti")
     several = usable.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last").select("doc_id", "a")
     same = usable.join(several, "doc_id").where("node <> a").select("a", F.col("node").alias("b"))
     found = _link_components(named, own, nodes, stage(same.distinct() if by_id else same.where("false"), "same"), size, percent)
@@ -511,7 +561,7 @@ def first_of_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     rows, nodes = components_of(keyed.select(F.col(own).alias("doc_id"), "text"), size, percent, by_id=False)
     first = nodes.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")).select("first.*")
     gone = stage(rows.where("n_shingles > 0").select("doc_id", "text_hash").distinct().join(first, ["doc_id", "text_hash"], "left_anti").toDF(own, mark), "gone")
-    kept = keyed.join(broadcast_if(gone, BROADCAST_ROWS), [own, mark], "left_anti")
+    kept = _joined_texts(keyed, gone, [own, mark], "left_anti")
     repeated = stage(rows.groupBy("doc_id", "text_hash").count().where("count > 1").select("doc_id", "text_hash").toDF(own, mark), "repeated")
     if not repeated.isEmpty():
         again = broadcast_if(repeated, BROADCAST_ROWS)

@@ -89,12 +89,23 @@ def in_arrow(df: DataFrame, run: Callable, schema: str | StructType) -> DataFram
     return df.mapInArrow(run, schema)
 
 
-@contextmanager
-def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+def batches_of(spark: SparkSession, rows: int):
     """Jobs started within hand Arrow maps at most so many rows at once, which bounds their buffers on both sides."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    return _with_conf(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
+def shuffles_cleaned(spark: SparkSession):
+    """Tables staged within have their shuffle files deleted as soon as they are written, whatever the collectors do.
+
+    A frame that is made within and read outside is not concerned.
+    """
+    return _with_conf(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
+@contextmanager
+def _with_conf(spark: SparkSession, key: str, value: str | int) -> Iterator[None]:
     before = spark.conf.get(key, None)
-    spark.conf.set(key, rows)
+    spark.conf.set(key, value)
     try:
         yield
     finally:

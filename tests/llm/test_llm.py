@@ -208,6 +208,59 @@ def test_jaccard_compared_in_parts(spark, monkeypatch):
     assert len(parts) > 1 and max(p.count() for p in parts) <= 2 * jaccard_join.AT_ONCE * len(rows)
 
 
+def test_jaccard_one_group_in_parts(spark, monkeypatch):
+    """A single large group goes through in parts as well, its differences are dealt again in parts, and beyond BROADCAST_ROWS all is as before."""
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(80)]
+    rows = [(i, " ".join(base[:at] + [f"n{rng.randrange(9)}"] * rng.randint(0, 9) + base[at + rng.randint(0, 5) :])) for i in range(150) for at in [rng.randrange(70)]]
+    rows += [(1000 + i, " ".join(f"o{rng.randrange(10**6)}" for _ in range(30))) for i in range(100)] + [(2000, rows[0][1]), (2001, rows[7][1])]
+    sent, names = [], []
+    for name, value in (("BLOCK", 16), ("BROADCAST_ROWS", 20), ("FEW_ELEMENTS", 1), ("ELEMENTS", 20)):
+        monkeypatch.setattr(jaccard_join, name, value, raising=False)
+    monkeypatch.setattr(jaccard_join, "stage", lambda df, name="t", stage=jaccard_join.stage: names.append(name) or stage(df, name))
+    monkeypatch.setattr(jaccard_join, "_blockwise", lambda d, n, groups, *a, f=jaccard_join._blockwise: sent.append(groups.count()) or f(d, n, groups, *a))
+    for texts in (1, 1000):
+        monkeypatch.setattr(jaccard_join, "TEXTS", texts)
+        sent.clear()
+        got = {i: (r["n_shingles"], r["component_id"]) for i, r in collected(jaccard_join.jaccard_components(frame(spark, rows))).items()}
+        assert got == brute_components(rows, 3, 90)
+    assert sum(n > 0 for n in sent) > 3 and max(sent) < sum(sent) / 2
+    assert "several" in names
+
+
+def test_jaccard_filter(spark, monkeypatch):
+    """Beyond BROADCAST_ROWS keys, texts that meet none are not shuffled, and both joins give what plain ones do."""
+    monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 20)
+    docs = frame(spark, [(i if i % 7 else None, f"t{i}") for i in range(3000)]).select("doc_id", "text")
+    keys = jaccard_join.stage(spark.range(0, 3000, 11).selectExpr("id doc_id"), "keys")
+    for how in ("inner", "left_anti"):
+        got, want = (sorted(tuple(r) for r in df.select("text").collect()) for df in (jaccard_join._joined_texts(docs, keys, ["doc_id"], how), docs.join(keys, ["doc_id"], how)))
+        assert got == want
+    passed = jaccard_join._filtered(docs, keys, ["doc_id"], keys.count()).where("passed").count()
+    assert 230 <= passed <= 300
+
+
+def test_jaccard_shuffles_go(spark, monkeypatch):
+    """A table's shuffle files go when it is written, without the help of any collector."""
+    import time
+
+    shuffles = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(" ").count("shuffle_")
+    left = []
+
+    def staged(df, name="t", stage=jaccard_join.stage):
+        before = shuffles()
+        out, until = stage(df, name), time.time() + 3
+        while name == "signed" and shuffles() > before and time.time() < until:
+            time.sleep(0.1)
+        left.append((name, shuffles() - before))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "stage", staged)
+    monkeypatch.setattr(jaccard_join, "release", lambda *a: None)
+    jaccard_join.jaccard_components(frame(spark, [(i, f"a{i} b{i} c{i} d{i}") for i in range(9)])).count()
+    assert [n for name, n in left if name == "signed" and n > 0] == []
+
+
 def test_jaccard_releases_signatures(spark, monkeypatch):
     """What was shuffled for the last part of the signatures goes before more tables are written."""
     names = []
